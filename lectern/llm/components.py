@@ -1,0 +1,35 @@
+"""Connected components of a link table by repeated contraction; nothing is gathered on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.runtime import staged
+
+
+def components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable, for each node that has a link to another.
+
+    Each round every node moves to its smallest neighbour and links follow; the least node of a component never
+    moves, so all end there. Joined tables are read from files, which lets Spark split what a hot node deals out.
+    """
+    e = staged(links.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src <> dst"), "links")
+    moves: list[DataFrame] = []
+    for _ in range(max_rounds):
+        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        move = staged(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")), "moves")
+        moves.append(move)
+        a = move.select(F.col("node").alias("src"), F.col("component").alias("a"))
+        b = move.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+        moved = e.join(a, "src").join(b, "dst").filter("a <> b")
+        e = staged(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
+        if e.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    out = moves[0]
+    for move in moves[1:]:
+        step = move.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        out = out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return out

@@ -26,6 +26,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_planes import token_files
 
@@ -34,6 +40,7 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op6_simhash": op6_simhash,
     "op9_token_planes": op9_token_planes,
 }
 
