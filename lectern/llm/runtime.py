@@ -122,6 +122,11 @@ def fold(column: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart whose id is null or repeated: the id and the text's hash."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string"))
+
+
 def lookup_join(left: DataFrame, totals: DataFrame, key: str, count: str, hot_rows: int = 20_000, hot_keys: int = 4096) -> DataFrame:
     """left outer join with `totals` (unique by key), whose column `count` tells how many rows of left have the key.
 
