@@ -32,6 +32,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.archives import page_archives
+
+    return page_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.simhash import near_duplicates
 
@@ -47,8 +53,23 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op9_token_planes": op9_token_planes,
 }
 
-ORACLES: dict[str, str] = {}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLES: dict[str, str] = {
+    # the 40 hex digits of a SHA-1 are 8 groups of 20 bits, 4 base32 digits each
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i:
+                   substr('{_BASE32}', CAST((CAST(('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5)) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM q
+    """,
+}
