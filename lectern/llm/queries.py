@@ -26,6 +26,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.postings import decontaminate
 
@@ -52,6 +59,7 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_neighbours": op3_neighbours,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
