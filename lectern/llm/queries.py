@@ -26,6 +26,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.neighbours import nearest
 
@@ -59,6 +65,7 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language": op2_language,
     "op3_neighbours": op3_neighbours,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
