@@ -57,6 +57,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_planes import token_files
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_token_planes": op9_token_planes,
 }
 
