@@ -57,6 +57,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.hidden_markov import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.toxicity import toxicity
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_hidden_markov": op7_hidden_markov,
     "op8_toxicity": op8_toxicity,
     "op9_token_planes": op9_token_planes,
 }
