@@ -69,6 +69,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.private_data import find_private
+
+    return find_private(table(spark, sf_dir, "documents"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_planes import token_files
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_hidden_markov": op7_hidden_markov,
     "op8_toxicity": op8_toxicity,
     "op9_token_planes": op9_token_planes,
+    "op10_private_data": op10_private_data,
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
