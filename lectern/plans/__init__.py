@@ -1,5 +1,11 @@
 """Registered queries."""
 
+import importlib
+
+_MODULES = ("graph",)
+
 
 def load_all() -> None:
     """Import every module that registers queries."""
+    for name in _MODULES:
+        importlib.import_module(f"lectern.plans.{name}")
