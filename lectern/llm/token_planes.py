@@ -22,11 +22,14 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,22 +39,24 @@ from lectern.llm.runtime import TwoGenerations, as_batch, column_of, fresh_path,
 
 #: Ids of a block.
 BLOCK_IDS = 65_536
-#: Chunks of which a worker keeps the ids.
-MEMO_CHUNKS = 150_000
+#: Pre-tokens of which a worker keeps the ids.
+MEMO_PARTS = 200_000
 LEVEL = 3
+#: The public pattern of this byte-level pre-tokenizer.
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Where a space stands beside other white space or at an end, cutting at spaces may not agree with the tokenizer.
 _UNSAFE = rf"^ | $| [{_WHITE}]|[{_WHITE}] "
 
 
 class ChunkEncoder:
-    """Byte-level BPE through the tokenizers library, with a memo of space-separated chunks.
+    """Byte-level BPE through the tokenizers library, with a memo of pre-tokens.
 
     The pre-tokenizer starts a token at each space between two characters that are no white space, so the chunks'
     ids add up to the text's. Texts with other spacing, or with a special token's string, are encoded whole.
     """
 
-    def __init__(self, path: str, memo: int = MEMO_CHUNKS):
+    def __init__(self, path: str, memo: int = MEMO_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,19 +64,23 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.unsafe = "|".join([_UNSAFE, *(f"\\Q{t}\\E" for t in special)])
-        self.memo = TwoGenerations(memo)
+        self.parts = TwoGenerations(memo)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def chunks(self, texts: list[str]) -> list[bytes]:
-        found = list(map(self.memo.get, texts))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(missing, self.whole([texts[i] for i in missing]), strict=True):
-            found[i] = ids
+        """Chunks are cut as the pre-tokenizer cuts them, for their parts recur more often."""
+        cut = list(map(_PART.findall, texts))
+        distinct = list(set(chain.from_iterable(cut)))
+        known = dict(zip(distinct, map(self.parts.get, distinct), strict=True))
+        unknown = [p for p, ids in known.items() if ids is None]
+        for p, ids in zip(unknown, self.whole(unknown), strict=True):
+            known[p] = ids
             if len(ids) <= 128:
-                self.memo.put(texts[i], ids)
-        return found
+                self.parts.put(p, ids)
+        of = known.__getitem__
+        return [of(c[0]) if len(c) == 1 else b"".join(map(of, c)) for c in cut]
 
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
