@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("graph",)
+_MODULES = ("graph", "selection")
 
 
 def load_all() -> None:
