@@ -24,12 +24,10 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,21 +37,23 @@ from lectern.llm.runtime import TwoGenerations, as_batch, column_of, fresh_path,
 
 #: Ids of a block.
 BLOCK_IDS = 65_536
-#: Pre-tokens of which a worker keeps the ids.
+#: Chunks of which a worker keeps the ids.
 MEMO_PARTS = 200_000
 LEVEL = 3
-#: The public pattern of this byte-level pre-tokenizer.
-_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The pre-tokenizer also cuts where a letter or digit meets a sign (an apostrophe may start a token with letters),
+#: and at both sides of a line feed between two characters that are no white space.
+_CUTS = ((rf"([\p{{L}}\p{{N}}])([^{_WHITE}\p{{L}}\p{{N}}'\x00])", "\\1\0\\2"), (rf"([^{_WHITE}\x00])\n([^{_WHITE}\x00])", "\\1\0\n\0\\2"))
 #: Where a space stands beside other white space or at an end, cutting at spaces may not agree with the tokenizer.
-_UNSAFE = rf"^ | $| [{_WHITE}]|[{_WHITE}] "
+_UNSAFE = rf"\x00|^ | $| [{_WHITE}]|[{_WHITE}] "
 
 
 class ChunkEncoder:
-    """Byte-level BPE through the tokenizers library, with a memo of pre-tokens.
+    """Byte-level BPE through the tokenizers library, with a memo of chunks.
 
-    The pre-tokenizer starts a token at each space between two characters that are no white space, so the chunks'
-    ids add up to the text's. Texts with other spacing, or with a special token's string, are encoded whole.
+    The pre-tokenizer starts a token at each space between two characters that are no white space, and where _CUTS
+    says, so the chunks' ids add up to the text's. Texts with other spacing, with a NUL, or with a special token's
+    string, are encoded whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO_PARTS):
@@ -70,30 +70,24 @@ class ChunkEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def chunks(self, texts: list[str]) -> list[bytes]:
-        """Chunks are cut as the pre-tokenizer cuts them, for their parts recur more often."""
-        cut = list(map(_PART.findall, texts))
-        distinct = list(set(chain.from_iterable(cut)))
-        known = dict(zip(distinct, map(self.parts.get, distinct), strict=True))
-        unknown = [p for p, ids in known.items() if ids is None]
-        for p, ids in zip(unknown, self.whole(unknown), strict=True):
-            known[p] = ids
+        found = list(map(self.parts.get, texts))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(missing, self.whole([texts[i] for i in missing]), strict=True):
+            found[i] = ids
             if len(ids) <= 128:
-                self.parts.put(p, ids)
-        of = known.__getitem__
-        return [of(c[0]) if len(c) == 1 else b"".join(map(of, c)) for c in cut]
+                self.parts.put(texts[i], ids)
+        return found
 
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         odd = pc.match_substring_regex(texts, self.unsafe)
-        words = pc.split_pattern(texts, " ")
+        cut = pc.replace_substring(texts, " ", "\0 ")
+        for pattern, parted in _CUTS:
+            cut = pc.replace_substring_regex(cut, pattern, parted)
+        words = pc.split_pattern(cut, "\0")
         offsets, flat = words.offsets.to_numpy(), words.flatten().dictionary_encode()
-        offsets = offsets - offsets[0]
-        firsts = pc.list_element(words, 0).to_pylist()
-        kept = flat.dictionary.to_pylist()
-        known = self.chunks([*(" " + w for w in kept), *firsts])
-        index = flat.indices.to_numpy().copy()
-        index[offsets[:-1]] = np.arange(len(kept), len(known))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(known, pa.binary()).take(pa.array(index)))
+        known = self.chunks(flat.dictionary.to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(known, pa.binary()).take(flat.indices))
         out = pc.binary_join(lists, b"").to_pylist()
         if pc.any(odd).as_py():
             which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
