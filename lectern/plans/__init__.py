@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("graph", "selection")
+_MODULES = ("graph", "selection", "text")
 
 
 def load_all() -> None:
