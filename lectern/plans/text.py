@@ -283,13 +283,14 @@ def page_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "paragraph_merge",
-    """WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity // 10 AS BIGINT) AS size, CAST(l_quantity // 9 AS BIGINT) AS height, 'P' || l_partkey AS t FROM lineitem), m AS (SELECT *, lag(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, size, height, t) AS prev FROM r),
-            g AS (SELECT *, sum(CASE WHEN prev IS NOT NULL AND NOT (abs(size - prev) < 2 AND height < size + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS grp FROM m)
+    """WITH u AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q, 'P' || min(l_partkey) AS t FROM lineitem GROUP BY 1, 2), r AS (SELECT l_orderkey, l_linenumber, CAST(floor(q / 10) AS BIGINT) AS size, CAST(floor(q / 9) AS BIGINT) AS height, t FROM u),
+            m AS (SELECT *, lag(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS prev FROM r),
+            g AS (SELECT *, sum(CASE WHEN prev IS NOT NULL AND NOT (abs(size - prev) < 2 AND height < size + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS grp FROM m)
        SELECT l_orderkey, CAST(grp AS BIGINT) AS grp, count(*) AS n, string_agg(t, ' ' ORDER BY l_linenumber) AS content FROM g GROUP BY 1, 2""",
 )
 def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(q / 10).alias("size"), F.floor(q / 9).alias("height"), F.concat(F.lit("P"), "l_partkey").alias("t"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    rows = lines.select("l_orderkey", "l_linenumber", F.floor(F.col("q") / 10).alias("size"), F.floor(F.col("q") / 9).alias("height"), F.concat(F.lit("P"), "p").alias("t"))
     return evaluation.merge_paragraphs(rows, "l_orderkey", "l_linenumber", "size", "height", "t")
 
 
