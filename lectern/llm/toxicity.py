@@ -24,7 +24,6 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.language import sample_labelled
 from lectern.llm.runtime import as_batch, column_of, fold, fold_of, once, text_slices
 
 #: Labelled texts of either label, at most.
@@ -150,9 +149,12 @@ def fit(toxic: list[str], ordinary: list[str], rounds: int = 2) -> ToxicModel:
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> ToxicModel | None:
     """Fit on labelled rows outside the held-out fold; of an id's label rows the largest label counts."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
-    rows = documents.select(id_col, text_col).filter(F.col(text_col).isNotNull() & (fold(id_col, folds) != held_out)).join(known, id_col)
-    found = sample_labelled(rows, "_label", sample, id_col, text_col).orderBy("_label", "_rank").select("_label", text_col).collect()
+    named = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held_out))
+    known = named.groupBy(id_col).agg(F.max(label).cast("int").alias("_label")).withColumn("_h", F.xxhash64(F.lit(11), id_col))
+    of = [known.filter(F.col("_label") == v).orderBy("_h", id_col).limit(sample) for v in (0, 1)]
+    # 2 * sample ids at most are broadcast, so no text is shuffled
+    rows = documents.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(of[0].unionByName(of[1])), id_col)
+    found = rows.orderBy("_label", "_h", id_col, text_col).limit(2 * sample).select("_label", text_col).collect()
     toxic, ordinary = [r[1] for r in found if r[0] == 1], [r[1] for r in found if r[0] == 0]
     return fit(toxic, ordinary) if toxic and ordinary else None
 
