@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(c: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def normalise(c: Column | str) -> Column:
     """Lower case, trimmed, white space runs as one space, then signs removed (so two spaces may meet again)."""
-    spaced = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+", " ")
+    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
     return F.regexp_replace(spaced, r"[^\p{L}\p{N}_\s]", "")
 
 
@@ -64,7 +69,7 @@ def markdown_links(c: Column | str) -> Column:
 def first_fence(c: Column | str) -> Column:
     """The body of the first fenced code block, or the text itself."""
     body = F.regexp_extract(c, r"(?s)```[a-zA-Z]*\n(.*?)```", 1)
-    return F.when(F.coalesce(body, F.lit("")) == "", F.col(c) if isinstance(c, str) else c).otherwise(F.trim(body))
+    return F.when(F.coalesce(body, F.lit("")) == "", F.col(c) if isinstance(c, str) else c).otherwise(stripped(body))
 
 
 def url_basename(url: Column | str) -> Column:
@@ -77,13 +82,13 @@ def clean(c: Column | str, drop: str = "") -> Column:
     """Runs of line feeds as one, a given literal dropped, long rules as five dashes, trimmed."""
     t = F.regexp_replace(c, r"\n+", "\n")
     t = F.replace(t, F.lit(drop), F.lit("")) if drop else t
-    return F.trim(F.regexp_replace(t, r"-{6,}", "-----"))
+    return stripped(F.regexp_replace(t, r"-{6,}", "-----"))
 
 
 def answer(c: Column | str) -> Column:
     """What stands between the first <answer> and the next </answer>, trimmed; null without."""
     found = F.regexp_extract(c, r"(?s)<answer>(.*?)</answer>", 1)
-    return F.when(F.contains(c, F.lit("<answer>")) & F.contains(c, F.lit("</answer>")), F.trim(found))
+    return F.when(F.contains(c, F.lit("<answer>")) & F.contains(c, F.lit("</answer>")), stripped(found))
 
 
 def termination(c: Column | str) -> Column:

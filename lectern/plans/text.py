@@ -12,7 +12,7 @@ from lectern.plans.registry import register
 from lectern.sources.parsers import html_paragraphs as parse_html
 
 
-@register("normalize_text", r"SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s]', '', 'g') AS norm FROM documents")
+@register("normalize_text", r"SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g') AS norm FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalise("text").alias("norm"))
 
