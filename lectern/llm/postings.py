@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.runtime import as_batch, column_of, fresh_path, row_key, text_slices, texts_of
+from lectern.llm.runtime import as_batch, column_of, free_name, fresh_path, row_key, text_slices, texts_of
 
 #: Words of a window.
 WINDOW = 13
@@ -259,6 +259,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 def keep_clean(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of documents that are not contaminated; a row is known by its id and its text's hash, either may be null."""
-    keyed = documents.withColumn("_key", row_key(id_col, text_col))
-    bad = decontaminate(keyed, items, "_key", text_col, **options).filter("contaminated").select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*documents.columns)
+    key = free_name(documents, "_key")
+    keyed = documents.withColumn(key, row_key(id_col, text_col))
+    bad = decontaminate(keyed, items, key, text_col, **options).filter("contaminated").select(key).distinct()
+    return keyed.join(bad, key, "left_anti").select(*documents.columns)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,13 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.staging import fresh_path, shared_root, staged
+
+__all__ = ["fresh_path", "shared_root", "staged"]
+
 #: Text bytes that a worker handles at once; a longer document is a slice of its own.
 SLICE_BYTES = 6 << 20
 #: Rows that Spark sends to a worker in one Arrow batch.
 BATCH_ROWS = 2000
 
-_roots: dict[str, str] = {}
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches by rows and bytes, for texts may be long."""
@@ -29,45 +29,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir, which driver and executors share."""
-    sc = spark.sparkContext
-    if sc.applicationId in _roots:
-        return _roots[sc.applicationId]
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="lectern-checkpoint-")
-        sc.setCheckpointDir(base)
-    root = f"{base.rstrip('/')}/lectern-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
-    _roots[sc.applicationId] = root
-
-    def drop() -> None:
-        try:
-            path = sc._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the JVM may have gone before the interpreter ends
-            pass
-
-    atexit.register(drop)
-    return root
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:10]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def write_frames(df: DataFrame, path: str, frame: str = "frame", **options: str) -> None:
     """Write the binary column `frame` row after row, each followed by one newline byte, a file a partition.
 
@@ -122,6 +83,13 @@ def fold(column: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no such column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """What tells rows apart whose id is null or repeated: the id and the text's hash."""
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string"))
