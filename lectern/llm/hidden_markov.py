@@ -6,8 +6,8 @@ of a class is then drawn from the class by its smoothed count, which no state ch
 summed over all training texts, partition by partition, and each round re-estimates the model. A text's score is its
 exact log likelihood by the scaled forward recursion over all its symbols, plus what the class words add.
 
-The word counts are corpus statistics over all training texts. Only the head, of a fixed size, is broadcast; counts
-of rarer words reach the texts by a join. The states start from a hash of the head words' characters; nothing else
+The word counts are corpus statistics over all training texts. Only the KNOWN most frequent are broadcast, a fixed
+number; counts of rarer words reach the texts by a join, for which each slice of texts names a word once. The states start from a hash of the head words' characters; nothing else
 is drawn at random.
 
 Null and empty texts are the end token alone. Repeated rows are counted, and scored, as often as they occur. Text of
@@ -25,10 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.runtime import as_batch, column_of, fold, fold_of, lookup_join, staged, text_slices, texts_of
+from lectern.llm.runtime import as_batch, column_of, fold, fold_of, staged, text_slices, texts_of
 
 #: Training words with a symbol of their own.
 HEAD = 60_000
+#: Training words whose count every task has.
+KNOWN = 262_144
 STATES = 4
 ROUNDS = 3
 #: What every symbol's expected count gets in each state, over the number of symbols.
@@ -62,44 +64,47 @@ def frequency_class(c: int) -> int:
 
 @dataclass
 class Alphabet:
-    """Symbols: head words, then frequency classes, then the end."""
+    """Symbols: the first `own` known words, then frequency classes, then the end."""
 
-    head: dict[bytes, int]
-    head_counts: np.ndarray
+    known: dict[bytes, int]  # place by falling count
+    counts: np.ndarray  # of the known words
+    own: int
     tokens: int  # N, ends included
     words: int  # V, the end included
     ends: int
-    class_words: np.ndarray  # distinct training words outside the head, by class
+    class_words: np.ndarray  # distinct training words without a symbol of their own, by class
     class_counts: np.ndarray
 
     @property
     def size(self) -> int:
-        return len(self.head) + _CLASSES + 1
+        return self.own + _CLASSES + 1
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
 
-    def in_class(self, c: int) -> float:
+    def symbols(self, c: np.ndarray) -> np.ndarray:
+        """The class symbols of counts."""
+        return self.own + np.array([frequency_class(x) for x in c.tolist()], np.int64)
+
+    def in_class(self, c: np.ndarray) -> np.ndarray:
         """log10 of a word's share of its class; all unseen words share their class as one."""
-        k = frequency_class(c)
-        if k == 0:
-            return 0.0
-        return math.log10((c + 0.5) / (self.class_counts[k] + 0.5 * self.class_words[k]))
+        k = self.symbols(c) - self.own
+        return np.where(k > 0, np.log10((c + 0.5) / np.maximum(self.class_counts[k] + 0.5 * self.class_words[k], 0.5)), 0.0)
 
 
-def alphabet(counts: DataFrame, documents: int, head: int = HEAD) -> Alphabet:
+def alphabet(counts: DataFrame, documents: int, head: int = HEAD, known: int = KNOWN) -> Alphabet:
     """counts: (word, c) of the training texts, documents: how many texts they come from."""
-    top = counts.orderBy(F.col("c").desc(), "word").limit(head).collect()
-    least = (top[-1].c, bytes(top[-1].word)) if len(top) == head else None
+    top = counts.orderBy(F.col("c").desc(), "word").limit(max(known, head)).collect()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     words, seen = np.zeros(_CLASSES), np.zeros(_CLASSES)
-    if least:
-        rest = counts.filter((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(bytearray(least[1])))))
-        k = F.when(F.col("c") <= 0, 0).otherwise(F.least(F.lit(_CLASSES - 1), 1 + F.ceil(F.round(F.log2("c"), 12)))).cast("int")
+    if len(top) > head:
+        c, word = top[head - 1].c, bytes(top[head - 1].word)
+        rest = counts.filter((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(bytearray(word)))))
+        k = F.least(F.lit(_CLASSES - 1), 1 + F.ceil(F.round(F.log2("c"), 12))).cast("int")
         for row in rest.groupBy(k.alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():
             words[row.k], seen[row.k] = row.v, row.n
     index = {bytes(r.word): i for i, r in enumerate(top)}
-    return Alphabet(index, np.array([r.c for r in top], np.int64), int(total.n or 0) + documents, int(total.v) + (documents > 0), documents, words, seen)
+    return Alphabet(index, np.array([r.c for r in top], np.int64), min(head, len(top)), int(total.n or 0) + documents, int(total.v) + (documents > 0), documents, words, seen)
 
 
 @dataclass
@@ -111,7 +116,7 @@ class Chain:
 
 def first_chain(letters: Alphabet, states: int = STATES) -> Chain:
     """Head words lean to a state by the bigrams of their characters, grouped by k-means from fixed seeds."""
-    words = list(letters.head)
+    words = list(letters.known)[: letters.own]
     sets = np.zeros((len(words), 256), np.float32)
     for row, w in zip(sets, words, strict=True):
         raw = np.frombuffer(b" " + w + b" ", np.uint8).astype(np.uint32)
@@ -130,7 +135,7 @@ def first_chain(letters: Alphabet, states: int = STATES) -> Chain:
                     mean = sets[lean == s].mean(0)
                     centres[s] = mean / max(np.linalg.norm(mean), 1e-9)
     emit = np.full((letters.size, states), 1.0)
-    emit[: len(words)] = letters.head_counts[:, None] + 0.5
+    emit[: len(words)] = letters.counts[: letters.own, None] + 0.5
     emit[np.arange(len(words)), lean] *= 3
     emit[len(words) : -1] = (letters.class_counts + 1)[:, None]
     emit[-1] = letters.ends + 1
@@ -198,10 +203,13 @@ def expected(chain: Chain, symbols: np.ndarray, starts: np.ndarray, lengths: np.
     return float(total.sum())
 
 
+_SLICE = "slice long, ids array<{}>, held_out array<boolean>, n array<int>, symbols binary, known array<bigint>, base array<double>, add array<double>, rare array<binary>, rare_at binary, rare_word binary"
+
+
 def encode(documents: DataFrame, letters: Alphabet, id_col: str, text_col: str, folds: int, held_out: int) -> DataFrame:
-    """(part, row, id, held_out, n, symbols, head_known, head_base, rare words and how often): all texts as symbols.
+    """A row for each slice of texts: their symbols (ends included) with what is known of their words so far.
 
-    A rare word's symbol is -1 until its count is known; `rare` lists a text's rare words in their order.
+    `rare` names the slice's words that are not among the known ones, rare_at where they stand.
     """
     shared = documents.sparkSession.sparkContext.broadcast(letters)
     kind = documents.schema[id_col].dataType.simpleString()
@@ -210,71 +218,74 @@ def encode(documents: DataFrame, letters: Alphabet, id_col: str, text_col: str,
         from pyspark import TaskContext
 
         letters = shared.value
-        get, end = letters.head.get, letters.size - 1
-        base = letters.base(letters.head_counts)
-        row = TaskContext.get().partitionId() << 40
+        get, end = letters.known.get, letters.size - 1
+        base = np.append(letters.base(letters.counts), 0.0)  # the last place is that of rare words
+        own = np.arange(len(letters.counts)) < letters.own
+        symbol = np.append(np.where(own, np.arange(len(own)), letters.symbols(letters.counts)), 0)
+        add = np.append(np.where(own, 0.0, letters.in_class(letters.counts)), 0.0)
+        number = TaskContext.get().partitionId() << 32
         for batch in text_slices(batches, text_col):
             words = lowered_words(texts_of(batch, text_col))
             offsets, flat = words.offsets.to_numpy() - words.offsets[0].as_py(), words.flatten().dictionary_encode()
-            table = np.array([get(w, -1) for w in flat.dictionary.to_pylist()], np.int32)
+            lengths, n = np.diff(offsets), len(offsets) - 1
+            place = np.array([get(w, -1) for w in flat.dictionary.to_pylist()], np.int64)
             index = flat.indices.to_numpy()
-            symbols = table[index] if len(index) else np.empty(0, np.int32)
-            rare = np.flatnonzero(symbols < 0)
-            rare_ends = np.searchsorted(rare, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), flat.dictionary.take(pa.array(index[rare])) if len(rare) else pa.array([], pa.binary()))
-            each = np.append(np.where(symbols >= 0, base[symbols], 0.0) if len(base) else np.zeros(len(symbols)), 0.0)
-            sums = np.where(offsets[1:] > offsets[:-1], np.add.reduceat(each, offsets[:-1]), 0.0)
-            known = np.concatenate(([0], np.cumsum(symbols >= 0)))
-            n = len(offsets) - 1
+            place = place[index] if len(index) else np.empty(0, np.int64)
+            where = np.arange(len(place)) + np.repeat(np.arange(n), lengths)
+            symbols = np.full(len(place) + n, end, np.uint16)
+            symbols[where] = symbol[place]
+            rare = np.flatnonzero(place < 0)
+            names, word = np.unique(index[rare], return_inverse=True) if len(rare) else (np.empty(0, np.int64), np.empty(0, np.int64))
+            sums = [np.where(lengths > 0, np.add.reduceat(np.append(x, 0), offsets[:-1]), 0) for x in ((place >= 0).astype(np.int64), base[place], add[place])]
             ids = column_of(batch, id_col)
-            packed = [np.append(symbols[a:b], end).astype("<i4").tobytes() for a, b in zip(offsets, offsets[1:])]
-            yield as_batch(
-                row=pa.array(np.arange(row, row + n)), **{id_col: ids}, held_out=pa.array(fold_of(ids, folds) == held_out), n_tokens=pa.array(np.diff(offsets) + 1, pa.int64()),
-                symbols=pa.array(packed, pa.binary()), head_known=pa.array(known[offsets[1:]] - known[offsets[:-1]], pa.int64()), head_base=pa.array(sums), rare=lists,
-            )
-            row += n
+            number += 1
+            columns = {
+                "slice": pa.array([number]), "ids": pa.array([ids.to_pylist()], pa.list_(ids.type)), "held_out": pa.array([(fold_of(ids, folds) == held_out).tolist()]), "n": pa.array([lengths + 1], pa.list_(pa.int32())),
+                "symbols": pa.array([symbols.tobytes()]), "known": pa.array([sums[0]], pa.list_(pa.int64())), "base": pa.array([sums[1]], pa.list_(pa.float64())), "add": pa.array([sums[2]], pa.list_(pa.float64())),
+                "rare": pa.array([flat.dictionary.take(pa.array(names)).to_pylist() if len(names) else []], pa.list_(pa.binary())), "rare_at": pa.array([where[rare].astype("<i4").tobytes()]), "rare_word": pa.array([word.astype("<i4").tobytes()]),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    schema = f"row long, `{id_col}` {kind}, held_out boolean, n_tokens long, symbols binary, head_known long, head_base double, rare array<binary>"
-    return documents.select(id_col, text_col).mapInArrow(run, schema)
+    return documents.select(id_col, text_col).mapInArrow(run, _SLICE.format(kind))
 
 
 def with_classes(encoded: DataFrame, counts: DataFrame, letters: Alphabet, id_col: str) -> DataFrame:
-    """Fill in rare words: their symbols, and per text n_known, base_score, rare_score (what class words add)."""
-    spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(letters)
-    words = encoded.select("row", F.posexplode("rare").alias("pos", "word"))
-    totals = words.groupBy("word").agg(F.count("*").alias("uses")).join(counts, "word", "left").select("word", "uses", F.coalesce("c", F.lit(0)).alias("c"))
-    found = lookup_join(words, totals, "word", "uses").select("row", "pos", "c")
-    lists = found.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("cs"))
-    joined = encoded.drop("rare").join(lists, "row", "left")
-    kind = encoded.schema[id_col].dataType.simpleString()
+    """A row for each text, rare words filled in: symbols, n_known, base_score, rare_score (what class words add)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(letters)
+    words = encoded.select("slice", F.posexplode("rare").alias("pos", "word"))
+    found = words.join(counts, "word", "left").select("slice", "pos", F.coalesce("c", F.lit(0)).alias("c"))
+    lists = found.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("cs"))
+    joined = encoded.drop("rare").join(lists, "slice", "left")
+    kind = encoded.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches):
         letters = shared.value
-        first, end = len(letters.head), letters.size - 1
+        end_base = float(letters.base(np.array(letters.ends)))
         for batch in batches:
-            out, known, base, rare = [], [], [], []
-            end_base = float(letters.base(np.array(letters.ends)))
-            for raw, cs, head_known, head_base in zip(*(column_of(batch, c).to_pylist() for c in ("symbols", "cs", "head_known", "head_base")), strict=True):
-                symbols = np.frombuffer(raw, "<i4").copy()
-                counts = np.array(cs or [], np.int64)
-                symbols[symbols < 0] = [first + frequency_class(c) for c in counts]
-                out.append(symbols.tobytes())
-                known.append(head_known + int((counts > 0).sum()) + (letters.ends > 0))
-                base.append(head_base + float(letters.base(counts).sum()) + end_base)
-                rare.append(sum(map(letters.in_class, counts.tolist())))
-            yield as_batch(
-                **{id_col: column_of(batch, id_col)}, held_out=column_of(batch, "held_out"), n_tokens=column_of(batch, "n_tokens"), symbols=pa.array(out, pa.binary()),
-                n_known=pa.array(known, pa.int64()), base_score=pa.array(base, pa.float64()), rare_score=pa.array(rare, pa.float64()),
-            )
+            for i in range(batch.num_rows):
+                part = {c: column_of(batch, c)[i] for c in batch.schema.names}
+                n = part["n"].values.to_numpy().astype(np.int64)
+                ends = np.cumsum(n)
+                symbols = np.frombuffer(part["symbols"].as_py(), np.uint16).copy()
+                at, word = (np.frombuffer(part[c].as_py(), "<i4") for c in ("rare_at", "rare_word"))
+                c = part["cs"].values.to_numpy() if part["cs"].is_valid and len(word) else np.empty(0, np.int64)
+                symbols[at] = letters.symbols(c)[word]
+                text = np.searchsorted(ends, at, side="right")
+                known, base, add = (np.bincount(text, x[word], len(n)) for x in ((c > 0).astype(float), letters.base(c), letters.in_class(c)))
+                yield as_batch(
+                    **{id_col: part["ids"].values}, held_out=part["held_out"].values, n_tokens=pa.array(n),
+                    symbols=pa.array([symbols[e - k : e].tobytes() for e, k in zip(ends, n)], pa.binary()),
+                    n_known=pa.array(part["known"].values.to_numpy() + known.astype(np.int64) + (letters.ends > 0)),
+                    base_score=pa.array(part["base"].values.to_numpy() + base + end_base), rare_score=pa.array(part["add"].values.to_numpy() + add),
+                )
 
     return joined.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens long, symbols binary, n_known long, base_score double, rare_score double")
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = column_of(batch, "symbols").to_pylist()
-    lengths = np.array([len(x) // 4 for x in raw], np.int64)
-    return np.frombuffer(b"".join(raw), "<i4"), np.cumsum(lengths) - lengths, lengths
+    lengths = np.array([len(x) // 2 for x in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint16), np.cumsum(lengths) - lengths, lengths
 
 
 def baum_welch(encoded: DataFrame, letters: Alphabet, states: int = STATES, rounds: int = ROUNDS) -> tuple[Chain, list[float]]:
@@ -336,7 +347,7 @@ def baum_welch(encoded: DataFrame, letters: Alphabet, states: int = STATES, roun
 
 
 
-def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, head: int = HEAD, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, head: int = HEAD, known: int = KNOWN, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """Learn from the texts outside the held-out fold and score all:
 
     (id, held_out, n_tokens, n_known, train_tokens, base_score, score); scores are log10 probabilities.
@@ -344,7 +355,7 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     training = documents.filter(fold(id_col, folds) != held_out)
     counts = staged(word_counts(training, text_col), "word-counts")
-    letters = alphabet(counts, training.count(), head)
+    letters = alphabet(counts, training.count(), head, known)
     encoded = staged(encode(documents, letters, id_col, text_col, folds, held_out), "encoded")
     filled = staged(with_classes(encoded, counts, letters, id_col), "symbols")
     chain, _ = baum_welch(filled.filter(~F.col("held_out")), letters, states, rounds)
