@@ -96,7 +96,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[k : k + least(13, len(ws)) - 1], ' ') AS t
+                FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
+        sizes AS (SELECT DISTINCT n FROM win),
+        d AS (SELECT doc_id, n, k, array_to_string(ws[k : k + n - 1], ' ') AS t
+              FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, sizes WHERE len(ws) >= n)),
+        occ AS (SELECT DISTINCT doc_id, k, d.n, item_id FROM d JOIN win ON d.t = win.t AND d.n = win.n),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM occ) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM occ) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
     # the 40 hex digits of a SHA-1 are 8 groups of 20 bits, 4 base32 digits each
     "op5_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
