@@ -92,19 +92,35 @@ class Alphabet:
         return np.where(k > 0, np.log10((c + 0.5) / np.maximum(self.class_counts[k] + 0.5 * self.class_words[k], 0.5)), 0.0)
 
 
+def known_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, c) of the most frequent words, `most` at most, best first: all words above a count that a histogram gives."""
+    bucket = F.when(F.col("c") <= 4096, F.col("c")).otherwise(4096 + F.floor(F.log2("c") * 64)).cast("long")
+    have, least = 0, None
+    for row in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.col("b").desc()).collect():
+        have += row.n
+        if have > most:
+            break
+        least = row.c
+    if least is None:
+        return []
+    found = counts.filter(F.col("c") >= least).select("word", "c").toArrow()
+    return sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def alphabet(counts: DataFrame, documents: int, head: int = HEAD, known: int = KNOWN) -> Alphabet:
     """counts: (word, c) of the training texts, documents: how many texts they come from."""
-    top = counts.orderBy(F.col("c").desc(), "word").limit(max(known, head)).collect()
+    top = known_words(counts, max(known, head))
+    own = min(head, len(top))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     words, seen = np.zeros(_CLASSES), np.zeros(_CLASSES)
-    if len(top) > head:
-        c, word = top[head - 1].c, bytes(top[head - 1].word)
+    if own < total.v:
+        word, c = top[own - 1] if own else (b"", 1 << 62)
         rest = counts.filter((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(bytearray(word)))))
         k = F.least(F.lit(_CLASSES - 1), 1 + F.ceil(F.round(F.log2("c"), 12))).cast("int")
         for row in rest.groupBy(k.alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():
             words[row.k], seen[row.k] = row.v, row.n
-    index = {bytes(r.word): i for i, r in enumerate(top)}
-    return Alphabet(index, np.array([r.c for r in top], np.int64), min(head, len(top)), int(total.n or 0) + documents, int(total.v) + (documents > 0), documents, words, seen)
+    index = {w: i for i, (w, _) in enumerate(top)}
+    return Alphabet(index, np.array([c for _, c in top], np.int64), own, int(total.n or 0) + documents, int(total.v) + (documents > 0), documents, words, seen)
 
 
 @dataclass
