@@ -30,7 +30,7 @@ from lectern.llm.runtime import TwoGenerations, as_batch, column_of, once, text_
 
 SPACE = "▁"
 #: Words of which a worker keeps the pieces.
-MEMO_WORDS = 120_000
+MEMO_WORDS = 80_000
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _LETTERS = re.compile(f"{SPACE}*[^\\W\\d_]+|{SPACE}*[\\W\\d_]+")
 _ALONE = (1 << 21) - 1
@@ -312,11 +312,8 @@ class PieceModel:
         return n, ids, plain
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def piece_model(path: str) -> PieceModel:
-    return once(_models, path, lambda: PieceModel(path))
+    return once("pieces", path, lambda: PieceModel(path))
 
 
 def encode_documents(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:

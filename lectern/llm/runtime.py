@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import zlib
 from collections.abc import Callable, Iterator
@@ -9,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,9 @@ from lectern.staging import fresh_path, shared_root, staged
 __all__ = ["fresh_path", "shared_root", "staged"]
 
 #: Text bytes that a worker handles at once; a longer document is a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: Rows that Spark sends to a worker in one Arrow batch.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1500
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -44,7 +47,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice holds about `limit` bytes of `column` at most, a row at least."""
+    """Cut Arrow batches so that each slice holds about `limit` bytes of `column` at most, a row at least.
+
+    What another stage's operator left in this worker is released first.
+    """
+    if _held and _held_for != _stage_id():
+        _release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -127,13 +135,32 @@ class TwoGenerations:
         self.young[key] = value
 
 
-def once(slot: dict, key, make: Callable):
-    """A worker process keeps what is dear to build between its tasks.
+_held: dict = {}
+_held_for: int | None = None
+
+
+def _stage_id() -> int | None:
+    context = TaskContext.get()
+    return context.stageId() if context else None
+
+
+def once(kind: str, key, make: Callable):
+    """A worker process keeps one thing that is dear to build, from task to task of the stages that use it.
 
     Large memos make full garbage collections slow, so those become rare.
     """
-    if key not in slot:
+    global _held_for
+    _held_for = _stage_id()
+    if (kind, key) not in _held:
+        _release()
         gc.set_threshold(500_000, 50, 100)
-        slot.clear()
-        slot[key] = make()
-    return slot[key]
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
+def _release() -> None:
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
+        ctypes.CDLL(None).malloc_trim(0)

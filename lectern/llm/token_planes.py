@@ -96,11 +96,8 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    return once(_encoders, path, lambda: ChunkEncoder(path))
+    return once("token planes", path, lambda: ChunkEncoder(path))
 
 
 def pack_block(ids: np.ndarray, unit: int = 8, level: int = LEVEL) -> bytes:

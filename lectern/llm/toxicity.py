@@ -159,9 +159,6 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col:
     return fit(toxic, ordinary) if toxic and ordinary else None
 
 
-_pairs: dict[int, Pair] = {}
-
-
 def score(documents: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2) -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -169,7 +166,7 @@ def score(documents: DataFrame, model: ToxicModel | None, id_col: str = "doc_id"
 
     def run(batches):
         model = shared.value
-        pair = once(_pairs, hash((model.ordinary, model.toxic)), lambda: Pair(model.ordinary, model.toxic)) if model else None
+        pair = once("toxicity", hash((model.ordinary, model.toxic)), lambda: Pair(model.ordinary, model.toxic)) if model else None
         for batch in text_slices(batches, text_col):
             ids, texts = column_of(batch, id_col), column_of(batch, text_col).to_pylist()
             if pair:
