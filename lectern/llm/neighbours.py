@@ -7,7 +7,7 @@ precision, and merged with the best so far by heaps. Equal vectors of a block ar
 their k + 1 smallest ids; others of that vector cannot be among any k best.
 
 Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no part, nor do rows without an id.
-A row that repeats an id counts once. Blocks only meet blocks of vectors of the same length. With fewer candidates
+A candidate id that repeats counts once, by the best of its vectors. Blocks only meet blocks of vectors of the same length. With fewer candidates
 than k all are returned; empty tables give no rows.
 """
 
@@ -47,6 +47,8 @@ def _pack(rows: int, k: int, queries: bool):
             order = np.lexsort((ids, *x.T[::-1]))
             ids, x = ids[order], x[order]
             first = np.r_[True, (x[1:] != x[:-1]).any(1)]
+            once = first | np.r_[True, ids[1:] != ids[:-1]]
+            ids, x, first = ids[once], x[once], first[once]
             place = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
             ids, x = ids[place <= k], x[place <= k]
         return {"dim": x.shape[1], "ids": ids.tobytes(), "body": np.ascontiguousarray(x).tobytes()}
@@ -103,8 +105,11 @@ class Best:
         own = self.ids[:, None] == ids[None, :]
         lower = np.where(own, -np.inf, tile - slack)
         floor = np.full(len(self.ids), -np.inf)
-        if len(ids) > self.k:
-            floor = np.partition(lower, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+        # k rows of one id bound nothing: an id that stands for several vectors counts by its best
+        names, first = np.unique(ids[by_id := np.argsort(ids, kind="stable")], return_index=True)
+        if len(names) > self.k:
+            bounds = lower if len(names) == len(ids) else np.maximum.reduceat(lower[:, by_id], first, axis=1)
+            floor = np.partition(bounds, len(names) - self.k, axis=1)[:, len(names) - self.k]
         floor = np.maximum(floor, [-f[self.k - 1][0] if len(f) == self.k else -np.inf for f in self.found])
         row, col = np.nonzero((tile + slack >= floor[:, None]) & ~own)
         score = np.empty(len(row))
@@ -115,7 +120,7 @@ class Best:
         row, col, score = row[order], col[order], score[order]
         ends = np.searchsorted(row, np.arange(len(self.ids) + 1))
         for i in np.flatnonzero(np.diff(ends)):
-            s = slice(ends[i], min(ends[i] + 2 * self.k, ends[i + 1]))
+            s = slice(ends[i], min(ends[i] + self.k, ends[i + 1]) if len(names) == len(ids) else ends[i + 1])
             new = zip((-score[s]).tolist(), ids[col[s]].tolist())
             self.found[i] = merged([self.found[i], new], self.k)
 

@@ -100,6 +100,27 @@ def test_neighbours(spark):
     assert few.count() == 2
 
 
+def test_neighbours_of_repeated_ids(spark):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(300, 8))
+    x[200:] = x[:100] * 0.999  # the second vector of an id
+    ids = np.r_[np.arange(200), np.arange(100)]
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x) for _ in range(4)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, d.filter("vec_id IN (150, 160, 199)"), 20).collect()
+    for q in (150, 160, 199):
+        s = np.full(200, -np.inf)
+        np.maximum.at(s, ids, (x[q] * x).sum(1))
+        s[q] = -np.inf
+        assert [g.vec_id for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == np.lexsort((np.arange(200), -s))[:20].tolist()
+
+
+def test_equal_vectors_keep_distinct_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(6) for _ in range(9)] + [(9, [2.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, d.filter("vec_id = 9"), 4).collect()
+    assert sorted((g.rank, g.vec_id) for g in got) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
 def test_neighbours_int8_bound():
     r = np.random.default_rng(4)
     a, b = r.normal(size=(50, 9)), r.normal(size=(60, 9)) * 10
