@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; a
 of documents. run() writes each stage's rows as Parquet to the shared folder and reads them again.
 
 Null texts have no language and go in the first stage. Rows without an id are judged by their own text, and
-near-duplicate removal keeps them. Of rows that repeat an id one stays. Empty tables pass through empty.
+near-duplicate removal keeps them. Of rows that repeat an id one stays for each
+text that is no near copy. Empty tables pass through empty.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from lectern.llm.postings import keep_clean
 from lectern.llm.private_data import mask_private
 from lectern.llm.queries import table, tokenizer_file
 from lectern.llm.runtime import staged, tune
-from lectern.llm.simhash import keep_representatives
+from lectern.llm.similar_texts import keep_distinct
 
 #: A text whose best language has a smaller share is rejected.
 LEAST_SHARE = 0.4
@@ -33,9 +34,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
+    """Keep the document with the smallest id of each group of near duplicates: Jaccard 0.8 or more of 5-word shingles."""
     tune(spark)
-    return keep_representatives(docs)
+    return keep_distinct(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

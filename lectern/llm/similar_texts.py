@@ -1,0 +1,236 @@
+"""Near copies by exact Jaccard similarity of word shingles: the rule of the pipeline's near_duplicates stage.
+
+Two texts are near copies if the sets of their SIZE-word shingles (A-Z lowered, words parted by ASCII white space; a
+shorter text is one shingle) have a Jaccard similarity of SIMILAR or more; groups are what such links connect. No
+pair is missed: under any fixed order of all shingles, two such sets share one among the first n - ceil(0.8 n) + 1
+of either, so only texts that meet there are compared, and each pair by its whole sets. The order puts shingles
+first that a sketch of counts of fixed size holds for rare, which keeps those meetings few.
+
+Meetings of one shingle are compared in two rounds: each text with the first and with the one before; then all pairs
+that differ in the group found so far. A large group of near copies thus costs links in proportion; only texts
+that meet often without being near copies cost pairs. Sets are compared as 64-bit hashes of their shingles.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.runtime import as_batch, column_of, staged, text_slices, texts_of
+from lectern.operators.components import components
+
+SIZE = 5
+#: The least similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Counters of the sketch by which shingles are ordered, and of a block of them.
+SKETCH = 1 << 20
+BLOCK = 1 << 16
+#: Pairs that a task holds before it sends them on.
+PAIRS = 1 << 20
+
+
+def shingle_set(text: bytes, size: int = SIZE, seed: int = 42) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    words = text.lower().split()  # bytes: ASCII letters and white space only
+    if len(words) >= size:
+        shingles = set(map(b" ".join, zip(*(words[k:] for k in range(size)))))
+    else:
+        shingles = {b" ".join(words)} if words else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles)))
+
+
+def shingle_sets(documents: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
+    """(id, hash of the text, node, set): node stands for the set; a task names a set once, it is null after that."""
+    kind = documents.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in text_slices(batches, text_col):
+            nodes, sets = [], []
+            for text in pc.cast(texts_of(batch, text_col), pa.binary()).to_pylist():
+                body = shingle_set(text, size).tobytes()
+                node = xxhash.xxh64_intdigest(body)
+                sets.append(None if node in seen else body)
+                seen.add(node)
+                nodes.append(node)
+            yield as_batch(**{id_col: column_of(batch, id_col)}, hash=column_of(batch, "_hash"), node=pa.array(np.array(nodes, np.uint64).view(np.int64)), set=pa.array(sets, pa.binary()))
+
+    hashed = documents.filter(F.col(id_col).isNotNull()).select(id_col, text_col, F.xxhash64(text_col).alias("_hash"))
+    return hashed.mapInArrow(run, f"`{id_col}` {kind}, hash long, node long, set binary")
+
+
+def sketched(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle, over all shingles that share a counter."""
+
+    def run(batches):
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for body in column_of(batch, "set").to_pylist():
+                total[np.frombuffer(body, np.uint64) % SKETCH] += 1
+        for at in range(0, SKETCH, BLOCK):
+            yield as_batch(block=pa.array([at // BLOCK], pa.int32()), sums=pa.array([total[at : at + BLOCK].astype("<u4").tobytes()], pa.binary()))
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(column_of(batch, "block").to_pylist(), column_of(batch, "sums").to_pylist(), strict=True):
+                held[b] = held.get(b, 0) + np.frombuffer(x, "<u4")
+        if held:
+            yield as_batch(block=pa.array(list(held), pa.int32()), sums=pa.array([v.astype("<u4").tobytes() for v in held.values()], pa.binary()))
+
+    schema = "block int, sums binary"
+    out = np.zeros(SKETCH, np.uint32)
+    for r in sets.select("set").mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).collect():
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, "<u4")
+    return out
+
+
+def postings(sets: DataFrame, counts: np.ndarray, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(shingle, n, at, node): the first shingles of each set of n, with their places in the common order."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    top, below = similar
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            nodes, parts = column_of(batch, "node").to_numpy(), []
+            for body in column_of(batch, "set").to_pylist():
+                x = np.frombuffer(body, np.uint64)
+                x = x[np.argsort(counts[x % SKETCH], kind="stable")]  # of one count, by hash
+                parts.append((x[: len(x) + top * len(x) // -below + 1], len(x)))
+            sizes = np.array([len(p) for p, _ in parts])
+            if sizes.sum():
+                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield as_batch(shingle=pa.array(np.concatenate([p for p, _ in parts]).view(np.int64)), n=pa.array(np.repeat([n for _, n in parts], sizes).astype(np.int32)), at=pa.array(at.astype(np.int32)), node=pa.array(np.repeat(nodes, sizes)))
+
+    return sets.filter(F.octet_length("set") > 0).select("node", "set").mapInArrow(run, "shingle long, n int, at int, node long")
+
+
+def may_be_near(n, at, m, there, similar: tuple[int, int]):
+    """Whether sets of n and m, whose first common shingle stands at those places, can reach the similarity."""
+    top, below = similar
+    most = 1 + np.minimum(n - at - 1, m - there - 1)
+    return (below * np.minimum(n, m) >= top * np.maximum(n, m)) & ((top + below) * most >= top * (n + m))
+
+
+def _buckets(batches, columns: list[str]):
+    """Groups of rows of one shingle, many at once: arrays of the columns and where the groups start."""
+    held = None
+    for batch in batches:
+        new = [column_of(batch, c).to_numpy() for c in columns]
+        now = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        held = [x[cut:] for x in now]
+        if cut:
+            yield [x[:cut] for x in now]
+    if held is not None:
+        yield held
+
+
+def _pairs(i: np.ndarray, j: np.ndarray, node: np.ndarray) -> np.ndarray:
+    a, b = node[i], node[j]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def first_meetings(found: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(a, b) of texts that meet, and with shingle the rows of the shingles where more than three do."""
+
+    def run(batches):
+        for shingle, n, at, node in _buckets(batches, ["shingle", "n", "at", "node"]):
+            new = np.r_[True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])]
+            shingle, n, at, node = shingle[new], n[new], at[new], node[new]
+            start = np.r_[True, shingle[1:] != shingle[:-1]]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
+            j = np.flatnonzero(~start)
+            i, j = np.r_[first[j], j - 1], np.r_[j, j]
+            near = may_be_near(n[i], at[i], n[j], at[j], similar)
+            a, b = _pairs(i[near], j[near], node)
+            none = pa.nulls(len(a), pa.int64())
+            yield as_batch(a=pa.array(a), b=pa.array(b), shingle=none, n=none.cast(pa.int32()), at=none.cast(pa.int32()))
+            large = np.repeat(*(lambda sizes: (sizes > 3, sizes))(np.diff(np.r_[np.flatnonzero(start), len(start)])))
+            yield as_batch(a=pa.array(node[large]), b=pa.nulls(int(large.sum()), pa.int64()), shingle=pa.array(shingle[large]), n=pa.array(n[large]), at=pa.array(at[large]))
+
+    ordered = found.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return ordered.mapInArrow(run, "a long, b long, shingle long, n int, at int")
+
+
+def other_meetings(found: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(a, b) of all texts that meet and are of different groups; found: (shingle, n, at, node, component)."""
+    top, below = similar
+
+    def run(batches):
+        held, n_held = [], 0
+        for shingle, n, at, node, group in _buckets(batches, ["shingle", "n", "at", "node", "component"]):
+            starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+            for s, e in zip(starts, np.r_[starts[1:], len(shingle)]):
+                if (group[s:e] == group[s]).all():
+                    continue
+                stops = s + np.searchsorted(n[s:e], below * n[s:e] // top, side="right")
+                for i in range(s, e - 1):
+                    j = np.arange(i + 1, stops[i - s])
+                    j = j[(group[j] != group[i]) & may_be_near(n[i], at[i], n[j], at[j], similar)]
+                    if len(j):
+                        held.append(_pairs(np.full(len(j), i), j, node))
+                        n_held += len(j)
+                    if n_held >= PAIRS:
+                        a, b = np.unique(np.concatenate(held, axis=1), axis=1)
+                        yield as_batch(a=pa.array(a), b=pa.array(b))
+                        held, n_held = [], 0
+        if held:
+            a, b = np.unique(np.concatenate(held, axis=1), axis=1)
+            yield as_batch(a=pa.array(a), b=pa.array(b))
+
+    ordered = found.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The (src, dst) of pairs whose sets are similar enough."""
+    top, below = similar
+    # read from files, so that Spark knows whether it is small enough to be broadcast and the sets can stay in place
+    named = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    bodies = staged(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "sets-of-pairs")
+    joined = pairs.join(bodies.toDF("a", "set_a"), "a").join(bodies.toDF("b", "set_b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(column_of(batch, "set_a"), column_of(batch, "set_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(below * both >= top * (len(x) + len(y) - both))
+            yield as_batch(src=column_of(batch, "a"), dst=column_of(batch, "b")).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, "src long, dst long")
+
+
+def similar_groups(sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(node, component) of the sets (node, set) that have a near copy."""
+    found = postings(sets, sketched(sets), similar)
+    met = staged(first_meetings(found, similar), "meetings")
+    pairs = staged(met.filter("b is not null").select("a", "b").distinct(), "pairs")
+    links = staged(near_pairs(pairs, sets, similar), "near")
+    groups = staged(components(links), "groups")
+    rest = met.filter("shingle is not null").select("shingle", "n", "at", F.col("a").alias("node"))
+    rest = staged(rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "crowded")
+    more = staged(other_meetings(rest, similar).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    return components(links.unionByName(near_pairs(more, sets, similar)))
+
+
+def keep_distinct(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """A row of each group of near copies, that of the smallest id (then text hash); rows without id stay.
+
+    Each row is judged by its own text, so an id may stay with several texts; of equal rows one stays.
+    """
+    prints = staged(shingle_sets(documents, id_col, text_col, size), "shingle-sets")
+    groups = similar_groups(prints.filter("set is not null").select("node", "set"), similar)
+    least = prints.groupBy("node").agg(F.min(F.struct(id_col, "hash")).alias("lead"))
+    leads = least.join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("lead").alias("lead"))
+    keys = staged(leads.select(F.col(f"lead.{id_col}").alias("_id"), F.col("lead.hash").alias("_hash")), "leads")
+    identified = documents.select(F.struct(*documents.columns).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).filter("_id is not null")
+    kept = identified.join(keys, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")
+    return kept.unionByName(documents.filter(F.col(id_col).isNull()))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import archives, hidden_markov, language, neighbours, pieces, postings, private_data, simhash, token_planes, toxicity
+from lectern.llm import archives, hidden_markov, language, neighbours, pieces, postings, private_data, similar_texts, simhash, token_planes, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 LONG = " ".join(f"word{i % 97}" for i in range(20_000))
@@ -228,6 +228,53 @@ def test_simhash(spark, docs):
     assert kept.columns == docs.columns and sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.select("doc_id").collect()) == [-1, 0, 1, 4, 5, 6, 8, 9]
 
 
+def test_near_copies_at_the_jaccard_bound(spark, docs):
+    r, rows = random.Random(13), []
+    common = " ".join(f"licence{k}" for k in range(12))
+    for g in range(12):
+        base = [f"{r.choice('abcdef')}{r.randrange(300)}" for _ in range(r.choice([8, 40, 120]))]
+        for k in range(8):
+            w = list(base)
+            for _ in range(k % 5):
+                w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+            rows.append((g * 8 + k, " ".join(w) + (f" {common}" if g % 2 else "")))
+    rows += [(500 + k, f"{common} tail{k}") for k in range(6)] + [(5, "another text of that id"), (5, rows[5][1]), (200, rows[9][1].upper()), (None, rows[9][1])]
+    rows += [(700 + (x.doc_id or 0), x.text) for x in docs.select("doc_id", "text").collect()]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    named = [i for i, (d, _) in enumerate(rows) if d is not None]
+    for i in named:
+        for j in named:
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    least = {}
+    for i in named:
+        least[root(i)] = min(least.get(root(i), rows[i][0]), rows[i][0])
+    got = similar_texts.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(x.doc_id for x in got.collect() if x.doc_id is not None) == sorted(least.values())
+    assert got.filter("doc_id is null").count() == 1 and len(least) < 90
+    assert similar_texts.keep_distinct(docs.limit(0)).count() == 0 and similar_texts.keep_distinct(docs).columns == docs.columns
+
+
+def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{k}" for k in range(100)]
+    near = " ".join(words[:50] + ["other", "words"] + words[52:])
+    d = spark.createDataFrame([(1, " ".join(words)), (2, near), (3, "a text of its own that stays")], "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, d, "").collect()) == [1, 3]
+
+
 def test_hidden_markov(spark, docs):
     r, rows = random.Random(7), []
     for i in range(120):
