@@ -8,7 +8,8 @@ evidence give their words to both dictionaries, and training goes on (hard negat
 window and the sum over windows are put on a scale from 0 to 1 by a logistic fit on labelled texts that the
 dictionaries have not seen, moved so that the best F1 there is reached at THRESHOLD.
 
-The model is fitted on SAMPLE labelled texts of either label at most, drawn by a hash of their id. Every text is
+The model is fitted on SAMPLE labelled texts of either label at most, drawn by a hash of their id; of
+an id that repeats the smallest text. Every text is
 scored whole. Null and empty texts have no evidence and get the lowest score. With no text of one of the labels
 every score is 0. Repeated rows are scored alike; an empty table gives no rows.
 """
@@ -154,7 +155,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col:
     of = [known.filter(F.col("_label") == v).orderBy("_h", id_col).limit(sample) for v in (0, 1)]
     # 2 * sample ids at most are broadcast, so no text is shuffled
     rows = documents.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(of[0].unionByName(of[1])), id_col)
-    found = rows.orderBy("_label", "_h", id_col, text_col).limit(2 * sample).select("_label", text_col).collect()
+    # an id may repeat: one text of each, so neither label takes the other's places
+    texts = rows.groupBy("_label", "_h", id_col).agg(F.min(text_col).alias("_text"))
+    found = texts.orderBy("_label", "_h", id_col).select("_label", "_text").collect()
     toxic, ordinary = [r[1] for r in found if r[0] == 1], [r[1] for r in found if r[0] == 0]
     return fit(toxic, ordinary) if toxic and ordinary else None
 

@@ -337,6 +337,13 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), lab).count() == 0
 
 
+def test_toxicity_sample_of_repeated_ids(spark):
+    rows = [(i, "plain words of an ordinary text") for i in range(8) for _ in range(40)] + [(100 + i, "grobian schurken halunken") for i in range(8)]
+    labels = [(i, 0) for i in range(8)] + [(100 + i, 1) for i in range(8)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.train(d, lab, sample=8) is not None
+
+
 def test_private_data(spark, docs):
     text = "mail a.b@c.example.com, host 10.0.0.255 not 10.0.0.256, card 4111 1111 1111 1111, +1 (416) 555-0199 end"
     rows = [(1, text), (2, None), (3, ""), (1, text), (4, "a" * 50_000 + "@"), (5, "1" * 50_000)]
