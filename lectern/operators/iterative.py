@@ -5,6 +5,8 @@ Each step is a join and an aggregate; every few steps the lineage is cut through
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_steps: int = 64) -> DataFrame:
-    """(source, id, d): steps from each source (id) to each node that it reaches, itself included."""
+def distances(edges: DataFrame, sources: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """(source, id, d): steps from each source (id) to each node that it reaches, itself included; all of them unless max_steps is given."""
     adj = staged(both_ways(edges), "adjacency")
     frontier = staged(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("d")), "frontier")
     seen = frontier
-    for step in range(1, max_steps + 1):
+    for step in count(1) if max_steps is None else range(1, max_steps + 1):
         ahead = frontier.join(adj, frontier.id == adj.u).select("source", F.col("v").alias("id")).distinct()
         new = staged(ahead.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("d", F.lit(step)), "frontier")
         if new.isEmpty():
@@ -42,14 +44,14 @@ def closeness(edges: DataFrame) -> DataFrame:
     return per.select(F.col("source").alias("id"), value.alias("closeness"))
 
 
-def betweenness(edges: DataFrame, max_steps: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame, max_steps: int | None = None) -> DataFrame:
     """(id, betweenness), scaled by 1 / ((n - 1)(n - 2)): path counts forward from every source, shares back."""
     adj = staged(both_ways(edges), "adjacency")
     nodes = adj.select(F.col("u").alias("id")).distinct()
     n = nodes.count()
     level = staged(nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")), "level")
     levels, seen = [level], level.select("s", "id")
-    for _ in range(max_steps):
+    for _ in count() if max_steps is None else range(max_steps):
         ahead = level.join(adj, level.id == adj.u).groupBy("s", F.col("v").alias("id")).agg(F.sum("sigma").alias("sigma"))
         level = staged(ahead.join(seen, ["s", "id"], "left_anti"), "level")
         if level.isEmpty():

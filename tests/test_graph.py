@@ -126,3 +126,9 @@ def test_approximate_pairs_are_true_pairs(spark):
     v = spark.createDataFrame(rows, "id long, v array<double>, k int").withColumn("v", dedup.unit("v"))
     got = {(x.a, x.b) for x in dedup.approximate_pairs(v, 0.95, "id", "v", "k").collect()}
     assert {(i, i + 10) for i in range(10)} & got and all(b - a == 10 for a, b in got)
+
+
+def test_distances_reach_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "src long, dst long").coalesce(1)
+    got = iterative.distances(edges, spark.createDataFrame([(0,)], "id long"))
+    assert got.agg(F.max("d")).first()[0] == 66
