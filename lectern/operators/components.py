@@ -5,31 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.staging import staged
+from lectern.staging import dropped, staged
 
 
-def components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def roots(moves: DataFrame) -> DataFrame:
+    """(node, component) with each node's component replaced by the end of its chain; moves never go up.
+
+    Each step joins the table with itself, so chains of n nodes end after log2 n steps.
+    """
+    while True:
+        up = moves.filter("node <> component").select(F.col("node").alias("component"), F.col("component").alias("next"))
+        ahead = staged(moves.join(up, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")), "jumps")
+        more = not ahead.filter("moved").isEmpty()
+        dropped(moves)
+        moves = ahead.drop("moved")
+        moves._staged_at = ahead._staged_at
+        if not more:
+            return moves
+
+
+def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node reachable, for each node that has a link to another.
 
-    Each round every node moves to its smallest neighbour and links follow; the least node of a component never
-    moves, so all end there. Joined tables are read from files, which lets Spark split what a hot node deals out.
+    Each round every node points to its smallest neighbour, chains of pointers are followed to their ends, and links move
+    there. A node without a smaller neighbour either draws another in or is next to a smaller one after the
+    round, so two rounds halve the nodes at least: rounds grow as the logarithm of the nodes, steps of a round likewise.
+    Joined tables are read from files, which lets Spark split what a hot node deals out.
     """
-    e = staged(links.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src <> dst"), "links")
-    moves: list[DataFrame] = []
-    for _ in range(max_rounds):
+    e = staged(links.select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")).filter("src <> dst").distinct(), "links")
+    out = None
+    while True:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        move = staged(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")), "moves")
-        moves.append(move)
+        first = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
+        move = roots(staged(first, "moves"))
         a = move.select(F.col("node").alias("src"), F.col("component").alias("a"))
         b = move.select(F.col("node").alias("dst"), F.col("component").alias("b"))
         moved = e.join(a, "src").join(b, "dst").filter("a <> b")
-        e = staged(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
+        left = staged(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
+        if out is None:
+            out = move
+        else:
+            step = move.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            joined = staged(out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "components")
+            dropped(out, move)
+            out = joined
+        dropped(e)
+        e = left
         if e.isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    out = moves[0]
-    for move in moves[1:]:
-        step = move.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        out = out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    return out
+            dropped(e)
+            return out
