@@ -6,6 +6,11 @@ population counts' differences, so a pair of tiles whose counts lie further apar
 pair of small runs inside them. What is left is compared by exclusive-or and bit counts. A pair of tiles gives
 the links of a spanning star of each group it sees, not all pairs, so a large group stays linear in its tiles.
 
+near_duplicates() links 64-bit fingerprints within a radius of 3. keep_distinct() removes near copies by the sets of
+five-word shingles: fingerprints of WIDE_LANES words of 64 bits, compared tile by tile as above (tiles are also skipped
+by the sizes of the sets), find the pairs whose similarity may be 0.8 or more, and the sets themselves decide on those.
+See keep_distinct() for its rounds and what the radius can miss.
+
 Null texts count as empty: they have no shingle, fingerprint zero, and link like any other. Rows without an id are
 fingerprinted, but carry no link and have no component. Repeated ids give a row each. An empty table gives no row.
 """
@@ -20,12 +25,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.components import components
 from lectern.llm.runtime import as_batch, column_of, lookup_join, staged, text_slices, texts_of
+from lectern.operators.components import components
+from lectern.staging import dropped
 
 #: Fingerprints of a tile, and of the runs that are skipped or compared inside it.
 TILE = 16_384
 RUN = 256
+#: Near copies: words of a shingle, the least similarity as a fraction, 64-bit words of a fingerprint.
+WIDE_SIZE = 5
+SIMILAR = (4, 5)
+WIDE_LANES = 8
+#: The most bits that fingerprints of near copies may differ in, and in their first word. At a similarity of 0.8 a bit
+#: differs with a probability of 0.152 (of 0.188 for sets of 4 and 5), so 78 of 512 with a deviation of 8.
+WIDE_RADIUS, FIRST_RADIUS = 112, 24
+#: Sets of fewer shingles can't reach the similarity without being equal.
+LEAST_SET = 4
+#: Bits of the filter through which documents pass whose sets are asked for.
+FILTER_BITS = 1 << 24
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
 
@@ -64,6 +81,9 @@ def fingerprint_documents(documents: DataFrame, id_col: str = "doc_id", text_col
 
 
 def lane_counts(fp: np.ndarray) -> np.ndarray:
+    """Population counts: of the 16-bit lanes of one word, or of each word of wider fingerprints (rows, words)."""
+    if fp.ndim == 2 and fp.shape[1] > 1:
+        return np.bitwise_count(fp).astype(np.int16)
     return np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
@@ -89,88 +109,133 @@ def _runs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.minimum.reduceat(lanes, starts), np.maximum.reduceat(lanes, starts)
 
 
-def tile_links(a_fp: np.ndarray, b_fp: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(root, member) places of the groups that links within a tile, or between two, make; b follows a."""
+def close_pairs(a_fp: np.ndarray, b_fp: np.ndarray | None, radius: int, first: int, sizes: tuple | None = None):
+    """Yields (i, j, distance) of pairs within the radius, i of a tile and j of the same (i < j) or of another.
+
+    Fingerprints are (rows, words); `first` bounds the difference of the first word. sizes: (of a, of b, similarity)
+    leaves out runs, and pairs, whose set sizes cannot reach the similarity.
+    """
     same = b_fp is None
-    both = a_fp if same else np.concatenate([a_fp, b_fp])
-    shift = 0 if same else len(a_fp)
-    label = np.arange(len(both))
+    other = a_fp if same else b_fp
     a_at, a_lo, a_hi = _runs(a_fp)
     b_at, b_lo, b_hi = (a_at, a_lo, a_hi) if same else _runs(b_fp)
-    other = a_fp if same else b_fp
+    head = np.ascontiguousarray(other[:, 0])
+    if sizes:
+        n_a, n_b, (top, below) = sizes
+        a_least, a_most = np.minimum.reduceat(n_a, a_at), np.maximum.reduceat(n_a, a_at)
+        b_least, b_most = np.minimum.reduceat(n_b, b_at), np.maximum.reduceat(n_b, b_at)
     for r, start in enumerate(a_at):
         gap = np.maximum(0, np.maximum(b_lo - a_hi[r], a_lo[r] - b_hi)).sum(1)
         near = np.flatnonzero(gap <= radius)
+        if sizes:
+            near = near[(below * b_most[near] >= top * a_least[r]) & (below * a_most[r] >= top * b_least[near])]
         if same:
             near = near[near >= r]
-        mine = a_fp[start : start + RUN, None]
+        mine = a_fp[start : start + RUN, :1]
         for k in range(0, len(near), 16):
             places = np.concatenate([np.arange(b_at[c], min(b_at[c] + RUN, len(other))) for c in near[k : k + 16]])
-            i, j = np.nonzero(np.bitwise_count(mine ^ other[places][None, :]) <= radius)
-            _local_components(len(both), i + start, places[j] + shift, label)
-    member = np.flatnonzero(label != np.arange(len(both)))
+            i, j = np.nonzero(np.bitwise_count(mine ^ head[places][None, :]) <= first)
+            i, j = i + start, places[j]
+            ok = i < j if same else np.ones(len(i), bool)
+            if sizes:
+                ok &= below * np.minimum(n_a[i], n_b[j]) >= top * np.maximum(n_a[i], n_b[j])
+            i, j = i[ok], j[ok]
+            apart = np.bitwise_count(a_fp[i] ^ other[j]).sum(1)
+            ok = apart <= radius
+            if ok.any():
+                yield i[ok], j[ok], apart[ok]
+
+
+def tile_links(a_fp: np.ndarray, b_fp: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(root, member) places of the groups that links within a tile, or between two, make; b follows a."""
+    shift = 0 if b_fp is None else len(a_fp)
+    label = np.arange(len(a_fp) + (0 if b_fp is None else len(b_fp)))
+    wide = [None if x is None else x.reshape(-1, 1) for x in (a_fp, b_fp)]
+    for i, j, _ in close_pairs(*wide, radius, radius):
+        _local_components(len(label), i, j + shift, label)
+    member = np.flatnonzero(label != np.arange(len(label)))
     return label[member], member
 
 
-def near_links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """(src, dst) links between representatives; classes: (rep long, fp long), one row for each fingerprint."""
+_TILE = "tile long, lo array<int>, hi array<int>, least int, most int, body binary"
+
+
+def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields: int, reach) -> DataFrame:
+    """Tiles of rows (columns of int64: fields, then fp, one word or binary), cut in the given order.
+
+    reach: the least and greatest place of a tile's rows (a pair of numbers), by which tiles find each other.
+    """
 
     def pack(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        part, seq, n = TaskContext.get().partitionId(), 0, 0
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+        n = 0
 
-        def out(rep, fp):
+        def out(x: np.ndarray):
             nonlocal seq
-            lanes = lane_counts(fp)
-            total = lanes.sum(1)
+            pops = lane_counts(np.ascontiguousarray(x[:, fields:]).view(np.uint64))
+            least, most = reach(x, pops)
             seq += 1
-            row = {"tile": [part * (1 << 32) + seq], "lo": [lanes.min(0).tolist()], "hi": [lanes.max(0).tolist()], "least": [int(total.min())], "most": [int(total.max())], "body": [np.stack([rep, fp]).tobytes()]}
+            row = {"tile": [part * (1 << 32) + seq], "lo": [pops.min(0).tolist()], "hi": [pops.max(0).tolist()], "least": [int(least)], "most": [int(most)], "body": [x.tobytes()]}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("tile", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("least", pa.int32()), ("most", pa.int32()), ("body", pa.binary())]))
 
         for batch in batches:
-            held.append((column_of(batch, "rep").to_numpy(), column_of(batch, "fp").to_numpy()))
+            front = [column_of(batch, batch.schema.names[k]).to_numpy() for k in range(fields)]
+            fp = column_of(batch, "fp")
+            words = (fp.to_numpy() if pa.types.is_int64(fp.type) else np.frombuffer(b"".join(fp.to_pylist()), np.int64)).reshape(-1, lanes)
+            held.append(np.concatenate([np.stack(front, 1), words], 1))
             n += batch.num_rows
             while n >= tile:
-                rep, fp = (np.concatenate(x) for x in zip(*held))
-                yield out(rep[:tile], fp[:tile])
-                held, n = [(rep[tile:], fp[tile:])], n - tile
+                x = np.concatenate(held)
+                yield out(np.ascontiguousarray(x[:tile]))
+                held, n = [x[tile:]], n - tile
         if n:
-            yield out(*(np.concatenate(x) for x in zip(*held)))
-
-    def count(lane: int):
-        return F.bit_count(F.shiftright("fp", 16 * lane).bitwiseAND(0xFFFF))
+            yield out(np.concatenate(held))
 
-    keyed = classes.select("rep", "fp", F.bit_count("fp").alias("_n"), *[count(k).alias(f"_l{k}") for k in range(4)])
-    order = ["_n", "_l0", "_l1", "_l2", "_l3", "fp"]
     # few partitions give full tiles; an eighth of a million fingerprints is a light task
-    parts = max(1, -(-keyed.count() // (8 * tile)))
-    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("rep", "fp")
-    tiles = staged(ordered.mapInArrow(pack, "tile long, lo array<int>, hi array<int>, least int, most int, body binary"), "tiles")
+    parts = max(1, -(-rows.count() // (8 * tile)))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*rows.columns[:fields], "fp")
+    return staged(ordered.mapInArrow(pack, _TILE), "tiles")
+
+
+def tile_pairs(tiles: DataFrame, radius: int, reach: int) -> DataFrame:
+    """(ta, tb, body_a, body_b) of the tiles whose rows may be within the radius, ta <= tb, evenly dealt."""
     head = tiles.drop("body")
     a = head.select(F.col("tile").alias("ta"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence("least", "most")).alias("p"))
-    b = head.select(F.col("tile").alias("tb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.col("least") - radius, F.col("most") + radius)).alias("p"))
+    b = head.select(F.col("tile").alias("tb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.col("least") - reach, F.col("most") + reach)).alias("p"))
     gaps = F.zip_with(F.arrays_zip("la", "ha"), F.arrays_zip("lb", "hb"), lambda x, y: F.greatest(F.lit(0), y["lb"] - x["ha"], x["la"] - y["hb"]))
-    pairs = a.join(b, "p").filter("ta <= tb").filter(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius).select("ta", "tb").distinct()
+    pairs = staged(a.join(b, "p").filter("ta <= tb").filter(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius).select("ta", "tb").distinct(), "tile-pairs")
     left = tiles.select(F.col("tile").alias("ta"), F.col("body").alias("body_a"))
     right = tiles.select(F.col("tile").alias("tb"), F.col("body").alias("body_b"))
-    work = pairs.join(left, "ta").join(right, "tb").repartition(F.col("ta"), F.col("tb"))
+    # a pair is much work and few bytes, so the number of tasks follows the pairs
+    return pairs.join(left, "ta").join(right, "tb").repartition(min(max(pairs.count(), 1), 10_000), "ta", "tb")
+
+
+def near_links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """(src, dst) links between representatives; classes: (rep long, fp long), one row for each fingerprint."""
+
+    def count(lane: int):
+        return F.bit_count(F.shiftright("fp", 16 * lane).bitwiseAND(0xFFFF))
+
+    keyed = classes.select("rep", "fp", F.bit_count("fp").alias("_n"), *[count(k).alias(f"_l{k}") for k in range(4)])
+    tiles = tile_table(keyed, ["_n", "_l0", "_l1", "_l2", "_l3", "fp"], 1, tile, 1, lambda _, pops: (pops.sum(1).min(), pops.sum(1).max()))
 
     def compare(batches):
         for batch in batches:
             columns = [column_of(batch, c) for c in ("ta", "tb", "body_a", "body_b")]
             for i in range(batch.num_rows):
                 ta, tb, x, y = (c[i].as_py() for c in columns)
-                rep, fp = np.frombuffer(x, np.int64).reshape(2, -1)
+                x, y = (np.frombuffer(v, np.int64).reshape(-1, 2) for v in (x, y))
+                rep, fp = x[:, 0], np.ascontiguousarray(x[:, 1]).view(np.uint64)
                 if ta == tb:
-                    root, member = tile_links(fp.view(np.uint64), None, radius)
+                    root, member = tile_links(fp, None, radius)
                 else:
-                    rep_b, fp_b = np.frombuffer(y, np.int64).reshape(2, -1)
-                    root, member = tile_links(fp.view(np.uint64), fp_b.view(np.uint64), radius)
-                    rep = np.concatenate([rep, rep_b])
+                    root, member = tile_links(fp, np.ascontiguousarray(y[:, 1]).view(np.uint64), radius)
+                    rep = np.concatenate([rep, y[:, 0]])
                 if len(root):
                     yield as_batch(src=pa.array(rep[root]), dst=pa.array(rep[member]))
 
-    return work.mapInArrow(compare, "src long, dst long")
+    return tile_pairs(tiles, radius, radius).mapInArrow(compare, "src long, dst long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -184,9 +249,239 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component)
 
 
-def keep_representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of documents whose id is its group's smallest; of rows that repeat an id one stays; rows without id stay."""
-    found = near_duplicates(documents, id_col, text_col, **options).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    identified = documents.filter(F.col(id_col).isNotNull())
-    kept = identified.join(found, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*documents.columns).unionByName(documents.filter(F.col(id_col).isNull()))
+# --- near copies by five-word shingles -------------------------------------------------------------------------------
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def shingle_sets(texts: pa.Array, size: int = WIDE_SIZE) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles (A-Z lowered, words parted by ASCII white space).
+
+    A shorter text is one shingle, one without words has none.
+    """
+    words = [t.lower().split() for t in pc.cast(texts, pa.binary()).to_pylist()]
+    lengths = np.array(list(map(len, words)), np.int64)
+    seen: dict[bytes, int] = {}
+    flat = []
+    for w in words:
+        for x in w:
+            h = seen.get(x)
+            if h is None:
+                h = seen[x] = xxhash.xxh64_intdigest(x, 42) | 1
+            flat.append(h)
+    h = np.array(flat, np.uint64)
+    row_end = np.repeat(np.cumsum(lengths), lengths)
+    place = np.arange(len(h))
+    total = np.zeros(len(h), np.uint64)
+    for k in range(size):
+        at = place + k
+        inside = at < row_end
+        total += np.where(inside, _mixed(h[np.minimum(at, len(h) - 1)] * _ODD[k % 8] + np.uint64(k)), np.uint64(0)) if len(h) else 0
+    total = _mixed(total)
+    starts, n = np.cumsum(lengths) - lengths, np.where(lengths > 0, np.maximum(lengths - size + 1, 1), 0)
+    return [np.unique(total[s : s + c]) for s, c in zip(starts, n)]
+
+
+def wide_prints(sets: list[np.ndarray], lanes: int = WIDE_LANES) -> np.ndarray:
+    """(sets, lanes) words: a bit is set if it is in over half of a set's hashes, mixed anew for each word."""
+    n = np.array(list(map(len, sets)), np.int64)
+    every = np.concatenate([*sets, np.empty(0, np.uint64)])
+    out = np.zeros((len(n), lanes, 8), np.uint8)
+    owner = np.repeat(np.arange(len(n)) * 256, n)
+    for lane in range(lanes):
+        h = _mixed(every + _ODD[lane]).astype("<u8").view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            seen = np.bincount(owner + h[:, k], minlength=256 * len(n)).reshape(-1, 256).astype(np.float32)
+            out[:, lane, k] = np.packbits(2 * (seen @ _BITS) > n[:, None], axis=1, bitorder="little")[:, 0]
+    return out.reshape(len(n), -1).view("<u8")
+
+
+def _blocks_of(sets: list[np.ndarray], most: int = 512):
+    """Ranges of sets, so that counts of their bytes stay small."""
+    return ((k, sets[k : k + most]) for k in range(0, len(sets), most))
+
+
+def set_prints(documents: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, lanes: int = WIDE_LANES) -> DataFrame:
+    """(id, hash of the text, node, n, fp) of every row: node stands for the set of n shingles."""
+    kind = documents.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in text_slices(batches, text_col):
+            sets = shingle_sets(texts_of(batch, text_col), size)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            prints = [p.tobytes() for _, some in _blocks_of(sets) for p in wide_prints(some, lanes)]
+            yield as_batch(**{id_col: column_of(batch, id_col)}, hash=column_of(batch, "_hash"), node=pa.array(node), n=pa.array([len(s) for s in sets], pa.int64()), fp=pa.array(prints, pa.binary()))
+
+    hashed = documents.filter(F.col(id_col).isNotNull()).select(id_col, text_col, F.xxhash64(text_col).alias("_hash"))
+    return hashed.mapInArrow(run, f"`{id_col}` {kind}, hash long, node long, n long, fp binary")
+
+
+def candidates(tiles: DataFrame, known: bool, radius: int = WIDE_RADIUS, first: int = FIRST_RADIUS, similar: tuple[int, int] = SIMILAR, lanes: int = WIDE_LANES) -> DataFrame:
+    """(a, b) of nodes within the radius. Of each node and pair of tiles its nearest and its first earlier one; or, if
+    groups are known (rows are node, n, group), all pairs that differ in their group.
+    """
+    fields = 3 if known else 2
+
+    def run(batches):
+        for batch in batches:
+            columns = [column_of(batch, c) for c in ("ta", "tb", "body_a", "body_b")]
+            for i in range(batch.num_rows):
+                ta, tb, x, y = (c[i].as_py() for c in columns)
+                x, y = (np.frombuffer(v, np.int64).reshape(-1, fields + lanes) for v in (x, y))
+                words = [np.ascontiguousarray(v[:, fields:]).view(np.uint64) for v in (x, y)]
+                found = close_pairs(words[0], None if ta == tb else words[1], radius, first, (x[:, 1], y[:, 1], similar))
+                if known:
+                    for p, q, _ in found:
+                        apart = x[p, 2] != y[q, 2]
+                        if apart.any():
+                            yield as_batch(a=pa.array(np.minimum(x[p, 0], y[q, 0])[apart]), b=pa.array(np.maximum(x[p, 0], y[q, 0])[apart]))
+                    continue
+                nearest, distance, least = (np.full(len(y), v) for v in (-1, 1 << 20, len(x)))
+                for p, q, d in found:
+                    order = np.lexsort((p, d, q))
+                    p, q, d = p[order], q[order], d[order]
+                    lead = np.r_[True, q[1:] != q[:-1]]
+                    better = d[lead] < distance[q[lead]]
+                    nearest[q[lead][better]], distance[q[lead][better]] = p[lead][better], d[lead][better]
+                    np.minimum.at(least, q, p)
+                j = np.flatnonzero(nearest >= 0)
+                p, q = np.r_[nearest[j], least[j]], np.r_[j, j]
+                if len(p):
+                    yield as_batch(a=pa.array(np.minimum(x[p, 0], y[q, 0])), b=pa.array(np.maximum(x[p, 0], y[q, 0])))
+
+    return tile_pairs(tiles, radius, 1).mapInArrow(run, "a long, b long").distinct()
+
+
+def _size_class(top: int, below: int):
+    """Places of tiles by the sizes of their sets: sizes within the similarity are a place apart at most."""
+    step = np.log(below / top)
+    return lambda x, _: (np.floor(np.log(x[:, 1].min()) / step), np.floor(np.log(x[:, 1].max()) / step))
+
+
+def sets_of(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(node, set) of the nodes in wanted (id, hash, node). Documents pass a filter of fixed size, so only what may be wanted
+    is hashed anew and moved.
+    """
+    block = 1 << 16  # bytes
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col("hash")), F.lit(bits))
+
+    def mark(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = column_of(batch, "at").to_numpy()
+            for b in np.unique(at >> 19):
+                mine = at[at >> 19 == b] & 0x7FFFF
+                np.bitwise_or.at(held.setdefault(int(b), np.zeros(block, np.uint8)), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        if held:
+            yield as_batch(block=pa.array(list(held), pa.int32()), bits=pa.array([v.tobytes() for v in held.values()], pa.binary()))
+
+    def unite(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(column_of(batch, "block").to_pylist(), column_of(batch, "bits").to_pylist(), strict=True):
+                held[b] = held.get(b, 0) | np.frombuffer(x, np.uint8)
+        if held:
+            yield as_batch(block=pa.array(list(held), pa.int32()), bits=pa.array([v.tobytes() for v in held.values()], pa.binary()))
+
+    schema = "block int, bits binary"
+    table = np.zeros(bits // 8, np.uint8)
+    for r in wanted.select(place.alias("at")).mapInArrow(mark, schema).repartition("block").mapInArrow(unite, schema).collect():
+        table[r.block * block : (r.block + 1) * block] = np.frombuffer(r.bits, np.uint8)
+    shared = documents.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        table = shared.value
+        seen: set[int] = set()
+        for batch in text_slices(batches, text_col):
+            at = column_of(batch, "_at").to_numpy()
+            some = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            sets = [s.tobytes() for s in shingle_sets(texts_of(some, text_col), size)]
+            node = [xxhash.xxh64_intdigest(s) for s in sets]
+            new = [k for k, x in enumerate(node) if not (x in seen or seen.add(x))]
+            yield as_batch(node=pa.array(np.array(node, np.uint64).view(np.int64)[new]), set=pa.array([sets[k] for k in new], pa.binary()))
+
+    passed = documents.filter(F.col(id_col).isNotNull()).select(text_col, F.col(id_col), F.xxhash64(text_col).alias("hash")).select(text_col, place.alias("_at"))
+    found = passed.mapInArrow(run, "node long, set binary")
+    return staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def near_pairs(pairs: DataFrame, bodies: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The (src, dst) of pairs (a, b) whose sets (node, set) are similar enough."""
+    top, below = similar
+    joined = pairs.join(bodies.toDF("a", "set_a"), "a").join(bodies.toDF("b", "set_b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(column_of(batch, "set_a"), column_of(batch, "set_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(below * both >= top * (len(x) + len(y) - both))
+            yield as_batch(src=column_of(batch, "a"), dst=column_of(batch, "b")).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, "src long, dst long")
+
+
+def near_copies(documents: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, tile: int = TILE // 2) -> DataFrame:
+    """(node, component) of the sets that have a near copy; classes: (node, n, fp, lead), one row a set."""
+    reach = _size_class(*similar)
+    lead = F.col(f"lead.{id_col}").alias(id_col), F.col("lead.hash").alias("hash"), "node"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = staged(classes.join(named, "node", "left_semi").select(*lead), "wanted")
+        bodies = sets_of(documents, wanted, id_col, text_col, size)
+        links = staged(near_pairs(pairs, bodies, similar), "near")
+        dropped(wanted, bodies)
+        return links
+
+    rows = classes.filter(F.col("n") >= LEAST_SET)
+    tiles = tile_table(rows.select("node", "n", "fp"), ["n", "node"], WIDE_LANES, tile, 2, reach)
+    pairs = staged(candidates(tiles, False, similar=similar), "pairs")
+    dropped(tiles)
+    if pairs.isEmpty():
+        return documents.sparkSession.createDataFrame([], "node long, component long")
+    links = verified(pairs)
+    groups = components(links)
+    # what stands near one of another group: only rows that have a candidate can
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    grouped = rows.join(named, "node", "left_semi").join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "fp")
+    tiles = tile_table(staged(grouped, "grouped"), ["n", "node"], WIDE_LANES, tile, 3, reach)
+    more = staged(candidates(tiles, True, similar=similar).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    dropped(tiles)
+    return groups if more.isEmpty() else components(links.unionByName(verified(more)))
+
+
+def keep_distinct(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """A row of each group of near copies, that of the smallest id (then text hash); rows without id stay.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are what such
+    links connect. Candidates are pairs of fingerprints within WIDE_RADIUS bits: at a similarity of exactly 0.8 that
+    misses a pair in some ten thousand, above it far fewer. First each text is checked against its nearest and its first
+    earlier one of each pair of tiles, then all candidates that differ in the groups found so far, so a large
+    group of near copies costs links in proportion. No pair is linked without its sets.
+
+    Each row is judged by its own text, so an id may stay with several texts; of equal rows one stays.
+    """
+    prints = staged(set_prints(documents, id_col, text_col, size), "set-prints")
+    found = prints.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(F.struct(id_col, "hash")).alias("lead"))
+    classes = staged(found, "set-classes")
+    groups = near_copies(documents, classes, id_col, text_col, size, similar)
+    leads = classes.join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("lead").alias("lead"))
+    keys = staged(leads.select(F.col(f"lead.{id_col}").alias("_id"), F.col("lead.hash").alias("_hash")), "leads")
+    again = staged(prints.groupBy(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")).count().filter("count > 1").select("_id", "_hash"), "repeated")
+    some_again = not again.isEmpty()
+    dropped(prints, classes)
+    identified = documents.select(F.struct(*documents.columns).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).filter("_id is not null")
+    kept = identified.join(keys, ["_id", "_hash"], "left_semi")
+    if some_again:  # only rows that are repeated are gathered by key
+        once = kept.join(again, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        kept = kept.join(again, ["_id", "_hash"], "left_anti").unionByName(once)
+    return kept.select("row.*").unionByName(documents.filter(F.col(id_col).isNull()))

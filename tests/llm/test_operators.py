@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import archives, hidden_markov, language, neighbours, pieces, postings, private_data, similar_texts, simhash, token_planes, toxicity
+from lectern.llm import archives, hidden_markov, language, neighbours, pieces, postings, private_data, simhash, token_planes, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 LONG = " ".join(f"word{i % 97}" for i in range(20_000))
@@ -224,8 +224,6 @@ def test_simhash(spark, docs):
     want = [(rows[i][0], f"{prints[i]:016x}", least[root(i)] if rows[i][0] is not None else None) for i in range(len(rows))]
     assert plain(got) == sorted(want, key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.select("doc_id").collect()) == [-1, 0, 1, 4, 5, 6, 8, 9]
 
 
 def test_near_copies_at_the_jaccard_bound(spark, docs):
@@ -261,10 +259,10 @@ def test_near_copies_at_the_jaccard_bound(spark, docs):
     least = {}
     for i in named:
         least[root(i)] = min(least.get(root(i), rows[i][0]), rows[i][0])
-    got = similar_texts.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = simhash.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert sorted(x.doc_id for x in got.collect() if x.doc_id is not None) == sorted(least.values())
     assert got.filter("doc_id is null").count() == 1 and len(least) < 90
-    assert similar_texts.keep_distinct(docs.limit(0)).count() == 0 and similar_texts.keep_distinct(docs).columns == docs.columns
+    assert simhash.keep_distinct(docs.limit(0)).count() == 0 and simhash.keep_distinct(docs).columns == docs.columns
 
 
 def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
