@@ -18,7 +18,7 @@ from lectern.llm.postings import keep_clean
 from lectern.llm.private_data import mask_private
 from lectern.llm.queries import table, tokenizer_file
 from lectern.llm.runtime import staged, tune
-from lectern.llm.similar_texts import keep_distinct
+from lectern.llm.simhash import keep_distinct
 
 #: A text whose best language has a smaller share is rejected.
 LEAST_SHARE = 0.4
