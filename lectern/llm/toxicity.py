@@ -1,17 +1,22 @@
 """Operator 8: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text. Both hold the frequent words of
-ordinary text; the toxic one also holds the word parts that toxic texts have far more often than ordinary ones, most
-frequent last, where matches are cheapest. A text is cut into windows of WORDS words, and each window
-compressed with either dictionary: the bytes that the toxic one saves are its evidence. Ordinary windows that show
-evidence give their words to both dictionaries, and training goes on (hard negatives). The largest evidence of a
-window and the sum over windows are put on a scale from 0 to 1 by a logistic fit on labelled texts that the
-dictionaries have not seen, moved so that the best F1 there is reached at THRESHOLD.
+zstandard trains dictionaries on ordinary and, apart, on toxic text; a text is cut into windows of WORDS words, and
+each window compressed with the ordinary dictionary alone and with the toxic one before it: the bytes that the
+toxic dictionary saves are the window's evidence. The toxic dictionary is trained on windows of toxic texts without
+the words that several ordinary texts have, the ordinary one on windows of ordinary texts and, in ROUNDS rounds, on
+those that showed evidence (hard negatives).
+
+One such pair of dictionaries also saves bytes on words that happen to look like its samples. So PAIRS pairs are
+trained, each without another part of the toxic texts and on another part of the ordinary windows: what is evidence to
+all of them counts, chance is not. A text's features (its greatest, mean, summed and agreed evidence) are put on
+a scale from 0 to 1 by a logistic fit on labelled texts that the dictionaries have not seen, moved so that
+FALSE_RATE of the ordinary ones among those stand at THRESHOLD or above.
 
 The model is fitted on SAMPLE labelled texts of either label at most, drawn by a hash of their id; of
 an id that repeats the smallest text. Every text is
-scored whole. Null and empty texts have no evidence and get the lowest score. With no text of one of the labels
-every score is 0. Repeated rows are scored alike; an empty table gives no rows.
+scored whole. Null and empty texts have no evidence and get the score of a text without any. With no text of one of the
+labels every score is 0. Repeated rows are scored alike; an empty table gives no rows. Where there is too little text
+for zstandard to train on, the samples themselves are the dictionary.
 """
 
 from __future__ import annotations
@@ -29,11 +34,17 @@ from lectern.llm.runtime import as_batch, column_of, fold, fold_of, once, text_s
 
 #: Labelled texts of either label, at most.
 SAMPLE = 1800
-WORDS = 16
-#: Length of the word parts that are counted; how much more often toxic texts must have one.
-PART = 5
-CONTRAST = 12.0
+WORDS = 32
+#: Pairs of dictionaries, and rounds of hard negatives of each.
+PAIRS = 5
+ROUNDS = 4
+#: Bytes of the dictionaries: of ordinary windows, of hard negatives, of toxic windows.
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 4096, 12_288, 3072
+#: A word that so many ordinary texts have is left out of the toxic samples.
+COMMON = 2
 THRESHOLD = 0.3
+#: Of ordinary calibration texts, the share that may reach THRESHOLD.
+FALSE_RATE = 0.005
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -45,67 +56,64 @@ def windows_of(text: str | None) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WORDS]) + b" " for i in range(0, len(words), WORDS)]
 
 
+def trained(samples: list[bytes], size: int, segment: int = 16, unit: int = 8) -> bytes:
+    """A zstandard dictionary of `size` bytes at most, trained on the samples."""
+    samples = [s for s in samples if len(s) >= unit]
+    if not samples:
+        return b""
+    try:
+        return zstd.train_dictionary(size, samples, k=segment, d=unit, level=19).as_bytes()
+    except zstd.ZstdError:  # too little to train on
+        return b"".join(samples)[-size:]
+
+
 def _compressor(content: bytes):
     rules = zstd.ZstdCompressionParameters.from_level(19, window_log=17, min_match=6, strategy=zstd.STRATEGY_BTOPT)
+    if not content:
+        return zstd.ZstdCompressor(compression_params=rules).compress
     book = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     book.precompute_compress(compression_params=rules)
     return zstd.ZstdCompressor(compression_params=rules, dict_data=book).compress
 
 
 class Pair:
-    """The two compressors."""
+    """Two compressors: ordinary text stands at the end of either dictionary, so what it saves is equal."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.toxic = _compressor(ordinary), _compressor(toxic)
+        self.plain, self.toxic = _compressor(ordinary), _compressor(toxic + ordinary)
 
     def evidence(self, windows: list[bytes]) -> list[int]:
         return [len(self.plain(w)) - len(self.toxic(w)) for w in windows]
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """(largest evidence, log of its positive sum, the share of windows with evidence)."""
-        windows = windows_of(text)
-        saved = [x for x in self.evidence(windows) if x > 0]
-        return (float(max(saved)), float(np.log1p(sum(saved))), len(saved) / len(windows)) if saved else (0.0, 0.0, 0.0)
-
-
-def _parts(words) -> set[bytes]:
-    return {w[i : i + PART] for w in words for i in range(len(w) - PART + 1)}
-
-
-def toxic_content(toxic: list[set[bytes]], ordinary: list[set[bytes]], least: int = 8, most: int = 600) -> list[bytes]:
-    """Word parts that toxic texts have CONTRAST times as often, joined where they overlap, rare ones first."""
-    mine, others = Counter(), Counter()
-    for count, texts in ((mine, toxic), (others, ordinary)):
-        for words in texts:
-            count.update(_parts(words))
-    least = min(least, max(2, len(toxic) // 20))
-    good = {p for p, n in mine.items() if n >= least and n / len(toxic) > CONTRAST * (others[p] + 0.5) / len(ordinary)}
-    runs: Counter[bytes] = Counter()
-    for words in toxic:
-        for w in words:
-            i = 0
-            while i + PART <= len(w):
-                j = i
-                while j + PART <= len(w) and w[j : j + PART] in good:
-                    j += 1
-                if j > i:
-                    runs[(b" " if i == 0 else b"") + w[i : j - 1 + PART]] += 1
-                i = j + 1
-    return [r for r, n in reversed(runs.most_common(most)) if n >= 2]
+
+def features(pairs: list[Pair], text: str | None) -> list[float]:
+    windows = windows_of(text)
+    if not windows:
+        return [0.0] * 9
+    each = np.array([p.evidence(windows) for p in pairs])
+    mean, agreed = each.mean(0), (each > 0).mean(0)
+    return [
+        mean.max(), mean.mean(), np.log1p(mean[mean > 0].sum()), mean.sum() / len(mean) ** 0.5, np.sort(mean)[-3:].mean(),
+        agreed.max(), (agreed >= 0.75).mean(), np.log1p((agreed == 1).sum()), min(each.min(0).max(), 10),
+    ]
 
 
 @dataclass
 class ToxicModel:
-    ordinary: bytes
-    toxic: bytes
-    weights: tuple[float, ...]  # of the features, then the bias
+    books: list[tuple[bytes, bytes]]  # ordinary, toxic
+    centre: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray  # of the features, then the bias
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        z = features @ np.array(self.weights[:-1]) + self.weights[-1]
+    def pairs(self) -> list[Pair]:
+        return [Pair(*b) for b in self.books]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) / self.spread @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> np.ndarray:
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -115,37 +123,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str], rounds: int = 2) -> ToxicModel:
+def train_pair(toxic: list[bytes], ordinary: list[bytes], common: set[bytes], rounds: int = ROUNDS) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionaries from windows of either label."""
+    own = [b" " + b" ".join(w for w in x.split() if w not in common) + b" " for x in toxic]
+    book, base = trained(own, TOXIC_BYTES), trained(ordinary, ORDINARY_BYTES, 12, 6)
+    hard: list[bytes] = []
+    plain = base
+    for _ in range(rounds):
+        found = [w for w, saved in zip(ordinary, Pair(plain, book).evidence(ordinary), strict=True) if saved > 0]
+        if not found:
+            break
+        hard += found
+        plain = trained(hard, HARD_BYTES) + base
+    return plain, book
+
+
+def fit(toxic: list[str], ordinary: list[str], pairs: int = PAIRS) -> ToxicModel:
     """Two thirds of the texts train the dictionaries, the rest the scale."""
     seen_t, seen_o = [t for i, t in enumerate(toxic) if i % 3], [t for i, t in enumerate(ordinary) if i % 3]
     seen_t, seen_o = seen_t or toxic, seen_o or ordinary
-    sets_t, sets_o = [set(words_of(t)) for t in seen_t], [set(words_of(t)) for t in seen_o]
-    content = toxic_content(sets_t, sets_o)
-    held = _parts(content)
-    frequent = [w for w, _ in Counter(w for s in sets_o for w in s).most_common(300)][::-1]
-    hard: Counter[bytes] = Counter()
-    for r in range(rounds + 1):
-        shared = b" ".join([b"", *[w for w, _ in hard.most_common(1500)], *frequent, b""])
-        plain, other = shared, b" ".join([*content, b""]) + shared
-        pair = Pair(plain, other)
-        if r == rounds:
-            break
-        for text in seen_o:
-            windows = windows_of(text)
-            for window, saved in zip(windows, pair.evidence(windows), strict=True):
-                if saved > 0:
-                    hard.update({w for w in window.split() if not held.isdisjoint(_parts([w]))})
+    texts = Counter(w for t in seen_o for w in set(words_of(t)))
+    common = {w for w, n in texts.items() if n >= COMMON}
+    windows = [w for t in seen_o for w in windows_of(t)]
+    books = []
+    for k in range(pairs):
+        mine = [t for i, t in enumerate(seen_t) if i % pairs != k] or seen_t
+        books.append(train_pair([w for t in mine for w in windows_of(t)], windows[k::pairs] or windows, common))
+    model = ToxicModel(books, np.zeros(9), np.ones(9), np.zeros(10))
+    made = model.pairs()
     rest_t, rest_o = toxic[::3], ordinary[::3]
-    x = np.array([pair.features(t) for t in (*rest_t, *rest_o)])
+    x = np.array([features(made, t) for t in (*rest_t, *rest_o)])
     y = np.r_[np.ones(len(rest_t)), np.zeros(len(rest_o))]
-    w = _logistic(x, y)
-    z = x @ w[:-1] + w[-1]
-    cuts = np.unique(z)
-    best = max(cuts, key=lambda c: (2 * (y[z >= c].sum()) / ((z >= c).sum() + y.sum()), c))
-    below = z[z < best]
-    cut = (best + below.max()) / 2 if len(below) else best
-    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
-    return ToxicModel(plain, other, tuple(map(float, w)))
+    model.centre, model.spread = x.mean(0), x.std(0) + 1e-9
+    model.weights = _logistic((x - model.centre) / model.spread, y)
+    z = (x - model.centre) / model.spread @ model.weights[:-1] + model.weights[-1]
+    high = np.sort(z[y == 0])[::-1]
+    most = high[min(int(FALSE_RATE * len(high)), len(high) - 1)]  # the first ordinary text that stays below
+    above = z[z > most]
+    cut = (most + above.min()) / 2 if len(above) else most + 1e-6
+    model.weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
+    return model
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> ToxicModel | None:
@@ -169,11 +186,12 @@ def score(documents: DataFrame, model: ToxicModel | None, id_col: str = "doc_id"
 
     def run(batches):
         model = shared.value
-        pair = once("toxicity", hash((model.ordinary, model.toxic)), lambda: Pair(model.ordinary, model.toxic)) if model else None
+        pairs = once("toxicity", hash(tuple(model.books)), model.pairs) if model else None
         for batch in text_slices(batches, text_col):
             ids, texts = column_of(batch, id_col), column_of(batch, text_col).to_pylist()
-            if pair:
-                scores = model.scores(np.array([pair.features(t) for t in texts]))
+            if pairs:
+                known = {t: features(pairs, t) for t in set(texts)}
+                scores = model.scores(np.array([known[t] for t in texts]))
             else:
                 scores = np.zeros(len(texts))
             yield as_batch(**{id_col: ids, "held_out": pa.array(fold_of(ids, folds) == held_out), "score": pa.array(scores, pa.float64()), "predicted": pa.array((scores >= THRESHOLD).astype(np.int32))})
