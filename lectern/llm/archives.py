@@ -39,6 +39,8 @@ ARC_FIELDS = {
 }
 #: When pages without a date count as fetched.
 FETCHED = "20240101000000"
+#: Records of a file, at most; each file is read as one row.
+FILE_RECORDS = 10_000
 _PAGE = "X-Page-Id"
 _REFERS = "X-Refers-To-Page-Id"
 
@@ -208,7 +210,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 0, arc_version: i
             out += [convert(r, name, to) for r, to in zip(read_arc(io.BytesIO(archive)), column_of(batch, "refers_to").to_pylist(), strict=True)]
             yield as_batch(frame=pa.array(out, pa.binary()))
 
-    write_frames(with_first_page(pages, min_revisit).mapInArrow(run, "frame binary"), path, compression="gzip")
+    write_frames(with_first_page(pages, min_revisit).mapInArrow(run, "frame binary"), path, compression="gzip", maxRecordsPerFile=str(FILE_RECORDS))
 
 
 def convert_arc_files(spark: SparkSession, source: str, path: str, pattern: str = "*.arc*") -> None:
