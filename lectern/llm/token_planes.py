@@ -33,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.runtime import TwoGenerations, as_batch, column_of, fresh_path, once, read_files, staged, text_slices, texts_of, write_frames
+from lectern.llm.runtime import TwoGenerations, as_batch, column_of, free_name, fresh_path, once, read_files, staged, text_slices, texts_of, write_frames
 
 #: Ids of a block.
 BLOCK_IDS = 65_536
+#: Text bytes of a shard, about; a longer text is not cut.
+SHARD_BYTES = 64 << 20
 #: Chunks of which a worker keeps the ids.
 MEMO_PARTS = 200_000
 LEVEL = 3
@@ -221,12 +223,18 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, id_col: s
         if writer.docs:
             yield as_batch(frame=pa.array(list(writer.close()), pa.binary()))
 
-    ranged = documents.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    # shards are sized by their text, whatever the session's partitions; null and repeated ids are dealt on by their texts
+    size = documents.select(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
+    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = free_name(documents, "_order")
+    keyed = documents.select(id_col, text_col, F.xxhash64(text_col).alias(order))
+    ranged = keyed.repartitionByRange(max(least, -(-size // SHARD_BYTES)), id_col, order).sortWithinPartitions(id_col, order).select(id_col, text_col)
     write_frames(ranged.mapInArrow(run, "frame binary"), path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_type: str = "long", with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the files; start counts the ids before it."""
+    kind = {"int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
 
     def run(batches):
         for batch in batches:
@@ -238,6 +246,7 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "long", with_ids:
                     columns = dict(zip(("shard", "doc_id", "local", "n_tokens", "ids_crc32"), map(list, zip(*((r[0], r[1], r[2], r[3], r[4]) for r in rows))), strict=True))
                     if with_ids:
                         columns["ids"] = [np.frombuffer(r[5], "<u4").astype(np.int32) for r in rows]
+                    columns["doc_id"] = pa.array(columns["doc_id"], kind)  # all ids of a shard may be null
                     out = pa.RecordBatch.from_pydict(columns)
                     rows.clear()
                     return out

@@ -60,6 +60,10 @@ def test_token_files(spark, docs):
     for unit in (1, 8):
         assert plain(token_planes.token_files(docs, path, unit=unit).collect()) == sorted(want, key=str)
     assert token_planes.token_files(docs.limit(0), path).count() == 0
+    sized = token_planes.SHARD_BYTES
+    token_planes.SHARD_BYTES = 4000  # many shards, in the same order
+    assert plain(token_planes.token_files(docs, path).collect()) == sorted(want, key=str)
+    token_planes.SHARD_BYTES = sized
     writer = token_planes.ShardWriter(3, block_ids=8)
     lists = [np.arange(n, dtype="<u4").tobytes() for n in (0, 5, 30, 1)]
     frames = [f for k, ids in enumerate(lists) for f in writer.add(k, ids)] + list(writer.close())
@@ -163,9 +167,24 @@ def test_decontamination_edges_and_proximity(spark, docs):
     assert postings.decontaminate(docs.limit(0), none).count() == 0
     assert postings.keep_clean(docs, spark.createDataFrame([(1, "the cat sat")], "item_id long, text string")).count() == len(TEXTS) + 1 - 3
     d = spark.createDataFrame([(1, "a x x b"), (2, "b a"), (3, "a x x x b"), (4, "a")], "doc_id long, text string")
-    vocabulary = {b"a": 0, b"b": 1, b"x": 2}
-    index = postings.build_index(d, vocabulary)
-    assert sorted(r.doc_id for r in postings.proximity_hits(index, vocabulary, ["a", "b"], 4).collect()) == [1, 2]
+    index = postings.build_index(d)
+    assert sorted(r.doc_id for r in postings.proximity_hits(index, ["a", "b"], 4).collect()) == [1, 2]
+    assert postings.proximity_hits(index, ["a", "none"], 4).count() == 0
+
+
+def test_phrases_of_frequent_words_in_slices(monkeypatch):
+    r = random.Random(15)
+    words = [r.choice([b"a", b"b", b"c"]) for _ in range(4000)]
+    names = sorted(set(words))
+    lists = [np.array([i for i, w in enumerate(words) if w == n], np.int32) for n in names]
+    seg = postings.Segment(names, np.cumsum([0, *map(len, lists)]), np.concatenate(lists), len(words))
+    find = postings.Phrases([("1", " ".join(r.choice("abc") for _ in range(300))), ("2", b" ".join(words[50:80]).decode()), ("3", "a b")])
+    whole = plain(zip(*seg.phrases(find)))
+    monkeypatch.setattr(postings, "SLICE", 2000)
+    assert plain(zip(*seg.phrases(find))) == whole
+    numbers = [find.vocabulary[w] for w in words]
+    want = [(k, row) for row, w in enumerate(find.windows) for n in [find.lengths[row]] for k in range(len(words) - n + 1) if numbers[k : k + n] == w[:n].tolist()]
+    assert whole == plain(want)
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -191,6 +210,13 @@ def test_page_archives(spark):
     assert archives.page_archives(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_of_several_files_a_task(spark, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_RECORDS", 7)
+    d = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "concat('body ', id % 30) AS html").coalesce(1)
+    got = archives.page_archives(d)
+    assert got.filter("record_type = 'response'").count() == 30 and got.filter("refers_to = page_id - 30").count() == 10
+
+
 def test_simhash(spark, docs):
     r = random.Random(6)
     base = [[r.choice("abcdefgh") + str(r.randrange(60)) for _ in range(200)] for _ in range(6)]
