@@ -3,7 +3,7 @@
 Four kinds of span have a pattern: email, ip, card, phone. The patterns' spans always stay. The network, trained here
 in numpy on labelled spans, adds spans that no pattern has. It reads windows of WINDOW characters that start every
 WINDOW / 2 around each digit or at sign (a span of any kind holds one, so other text cannot hold a span). The windows'
-label scores are averaged where they overlap and each stretch of windows is decoded as a whole with the CRF's
+label scores are averaged where they overlap, those near a window's ends counting less, and each stretch of windows is decoded as a whole with the CRF's
 transitions, so a span may cross windows. A decoded span is added if it has what its kind needs and meets no other.
 
 Training spans: the patterns' spans in windows of TRAIN_WINDOWS rows at most, drawn by a hash of their id, and
@@ -31,8 +31,10 @@ from lectern.llm.runtime import as_batch, column_of, text_slices
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
 TRAIN_WINDOWS = 600
-HIDDEN = 12
-STEPS = 160
+#: Invented spans among the training windows.
+INVENTED = 1000
+HIDDEN = 16
+STEPS = 440
 _TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -42,7 +44,6 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _MARK = re.compile("[0-9@]+")
-_SIGNS = "@.+-()_%/:=,\"'\n #*"
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -93,17 +94,15 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 # --- the network ---------------------------------------------------------------------------------------------------
 
-_N_CLASSES = len(_SIGNS) + 6
-_ASCII = np.full(128, len(_SIGNS) + 4, np.int64)
-for _c in range(128):
-    _ch = chr(_c)
-    _ASCII[_c] = _SIGNS.index(_ch) if _ch in _SIGNS else len(_SIGNS) + (0 if _ch.isdigit() else 1 if _ch.islower() else 2 if _ch.isupper() else 4)
+#: Characters up to this one have an input of their own; all others share BUCKETS, the last input stands for no character.
+OWN, BUCKETS = 384, 64
+_N_CLASSES = OWN + BUCKETS + 1
 
 
 def classes_of(text: str) -> np.ndarray:
-    """A class for each character: signs one each, digits, lower and upper case, other letters, the rest."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 128, _ASCII[np.minimum(points, 127)], len(_SIGNS) + 3)
+    """The input of each character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.where(points < OWN, points, OWN + points % BUCKETS)
 
 
 @dataclass
@@ -117,7 +116,7 @@ class Tagger:
         r = np.random.default_rng(seed)
         p = {"out": r.normal(0, 0.3, (2 * hidden, _TAGS)), "out_b": np.zeros(_TAGS), "move": np.zeros((_TAGS, _TAGS))}
         for d in "fb":
-            p[d + "x"] = r.normal(0, 0.3, (_N_CLASSES, 4 * hidden))
+            p[d + "x"] = r.normal(0, 0.3, (1, 4 * hidden)) + r.normal(0, 0.1, (_N_CLASSES, 4 * hidden))
             p[d + "h"] = r.normal(0, 0.3, (hidden, 4 * hidden))
             p[d + "b"] = np.r_[np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]
         return cls(p)
@@ -227,6 +226,10 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 # --- windows, training spans, decoding -----------------------------------------------------------------------------
 
 
+#: Weights of a window's scores: what stands near an end has been read with little around it.
+_TRUST = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW))[:, None] ** 2 / WINDOW
+
+
 def window_starts(text: str) -> list[int]:
     """Multiples of half a window whose window holds a digit or an at sign, or is next to one that does."""
     half, out = WINDOW // 2, set()
@@ -259,7 +262,7 @@ def _variant(kind: int, s: str, r: random.Random) -> str:
 
 
 def _invented(r: random.Random) -> tuple[int, str]:
-    kind = r.randrange(4)
+    kind = r.choice((0, 0, 1, 2, 3))
     if kind == 0:
         return 0, "".join(r.choice("abcdefghiklmnoprst") for _ in range(r.randint(3, 8))) + f".{r.randint(10, 99)}@mail{r.randint(1, 9)}.example.com"
     if kind == 1:
@@ -270,7 +273,7 @@ def _invented(r: random.Random) -> tuple[int, str]:
     return 3, f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
 
 
-def examples(windows: list[str], least: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def examples(windows: list[str], least: int = INVENTED) -> tuple[np.ndarray, np.ndarray]:
     """Windows and labels: the given ones, as they are and with spans written otherwise, and some invented spans."""
     r, out = random.Random(3), []
 
@@ -286,13 +289,15 @@ def examples(windows: list[str], least: int = 400) -> tuple[np.ndarray, np.ndarr
         for s, k, e in spans[:1]:
             v = _variant(k, w[s:e], r)
             add(w[:s] + v + w[e:], [(s, k, s + len(v))])
-    while len(out) < least:
+    for _ in range(least):
         kind, s = _invented(r)
-        s = s if r.random() < 0.5 else _variant(kind, s, r)
+        s = s if r.random() < 0.25 else _variant(kind, s, r)
         w = r.choice(plain)
-        at = r.randrange(0, 24)
-        head = (w[:at].rsplit(" ", 1)[0] + " ").lstrip()
-        add(head + s + " " + w[at:], [(len(head), kind, len(head) + len(s))])
+        # a window may begin or end anywhere in a span's surroundings, or inside it
+        at = r.randrange(-6, 40)
+        head = w[: max(at, 0)].rsplit(" ", 1)[0] + " " if at > 0 else ""
+        cut = max(-at, 0)
+        add(head + s[cut:] + r.choice([" ", ", ", ". ", "\n"]) + w[max(at, 0) :].lstrip(), [(len(head), kind, len(head) + len(s) - cut)])
         add(w, [])
     return np.stack([x for x, _ in out]), np.stack([y for _, y in out])
 
@@ -333,8 +338,8 @@ def found_by(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]
             u, n = np.zeros((end - first, _TAGS)), np.zeros((end - first, 1))
             for s in starts[begin:k]:
                 size = min(WINDOW, end - s)
-                u[s - first : s - first + size] += windows[s][:size]
-                n[s - first : s - first + size] += 1
+                u[s - first : s - first + size] += _TRUST[:size] * windows[s][:size]
+                n[s - first : s - first + size] += _TRUST[:size]
             path = tagger.best_path(u / n)
             at = 0
             while at < len(path):

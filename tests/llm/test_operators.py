@@ -397,6 +397,52 @@ def test_network_learns_and_its_gradient_is_right():
     assert np.mean(losses[-5:]) < losses[0] / 5
 
 
+def test_patterns_equal_the_plain_expressions():
+    import re
+
+    plain_patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    r = random.Random(16)
+    for _ in range(4000):
+        text = "".join(r.choice("0123456789" * 2 + "..--  @@+()ab%é\n") for _ in range(r.randint(0, 60)))
+        want = []
+        for kind, pattern in enumerate(plain_patterns):
+            for m in re.finditer(pattern, text):
+                d = re.sub("[^0-9]", "", m.group())
+                total = sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d)))
+                ok = (True, kind != 1 or all(int(x) <= 255 for x in m.group().split(".")), 12 <= len(d) <= 19 and total % 10 == 0, 9 <= len(d) <= 15)[kind]
+                if ok:
+                    want.append((m.start(), kind, m.end()))
+        assert private_data.base_spans(text) == sorted(want)
+
+
+def test_network_adds_spans_that_no_pattern_has():
+    r = random.Random(17)
+    words = "the river runs under a stone bridge and then it is gone with that old cat of mine , who knows".split()
+
+    def prose(n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    tagger = private_data.Tagger.new()
+    tagger.fit(*private_data.examples([prose(12)[:64] for _ in range(300)]))
+    met, all_of = [0] * 4, [0] * 4
+    for k in range(240):
+        kind, s = private_data._invented(r)
+        v = private_data._variant(kind, s, r)
+        head = prose(r.randint(2, 40)) + " "
+        text = f"{head}{v} {prose(20)}"
+        base = private_data.base_spans(text)
+        if any(e > len(head) for _, _, e in base):
+            continue
+        added = private_data.with_added(base, private_data.found_by(tagger, [text])[0])
+        all_of[kind] += 1
+        met[kind] += any(i == kind and b < len(head) + len(v) and e > len(head) for b, i, e in added)
+    assert all(m >= 0.9 * n and n > 20 for m, n in zip(met, all_of)), (met, all_of)
+    # a span over the seam of two windows is one span, wherever it lies
+    for shift in range(20, 50):
+        text = "x" * shift + " 416.555.0199 " + prose(10)
+        assert (shift + 1, 3, shift + 13) in private_data.found_by(tagger, [text])[0]
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     passage = " ".join(f"passage{i}" for i in range(20))
