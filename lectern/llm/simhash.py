@@ -41,6 +41,8 @@ WIDE_LANES = 8
 WIDE_RADIUS, FIRST_RADIUS = 112, 24
 #: Sets of fewer shingles can't reach the similarity without being equal.
 LEAST_SET = 4
+#: Bytes of sets that a tile holds.
+SET_BYTES = 8 << 20
 #: Bits of the filter through which documents pass whose sets are asked for.
 FILTER_BITS = 1 << 24
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
@@ -157,27 +159,31 @@ def tile_links(a_fp: np.ndarray, b_fp: np.ndarray | None, radius: int) -> tuple[
     return label[member], member
 
 
-_TILE = "tile long, lo array<int>, hi array<int>, least int, most int, body binary"
+_TILE = "tile long, lo array<int>, hi array<int>, least int, most int, body binary, sets binary"
 
 
-def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields: int, reach) -> DataFrame:
+def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields: int, reach, set_bytes: int | None = None) -> DataFrame:
     """Tiles of rows (columns of int64: fields, then fp, one word or binary), cut in the given order.
 
     reach: the least and greatest place of a tile's rows (a pair of numbers), by which tiles find each other.
+    set_bytes: rows have a column set (binary) too, which stays with them; a tile holds so many bytes of it, or one set.
     """
 
     def pack(batches):
         part, seq = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
+        sets: list[bytes] = []
         n = 0
 
-        def out(x: np.ndarray):
+        def out(x: np.ndarray, mine: list[bytes]):
             nonlocal seq
             pops = lane_counts(np.ascontiguousarray(x[:, fields:]).view(np.uint64))
             least, most = reach(x, pops)
             seq += 1
-            row = {"tile": [part * (1 << 32) + seq], "lo": [pops.min(0).tolist()], "hi": [pops.max(0).tolist()], "least": [int(least)], "most": [int(most)], "body": [x.tobytes()]}
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("tile", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("least", pa.int32()), ("most", pa.int32()), ("body", pa.binary())]))
+            return as_batch(
+                tile=pa.array([part * (1 << 32) + seq]), lo=pa.array([pops.min(0)], pa.list_(pa.int32())), hi=pa.array([pops.max(0)], pa.list_(pa.int32())), least=pa.array([int(least)], pa.int32()), most=pa.array([int(most)], pa.int32()),
+                body=pa.array([x.tobytes()], pa.binary()), sets=pa.array([b"".join(mine)], pa.binary()),
+            )
 
         for batch in batches:
             front = [column_of(batch, batch.schema.names[k]).to_numpy() for k in range(fields)]
@@ -185,28 +191,39 @@ def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields:
             words = (fp.to_numpy() if pa.types.is_int64(fp.type) else np.frombuffer(b"".join(fp.to_pylist()), np.int64)).reshape(-1, lanes)
             held.append(np.concatenate([np.stack(front, 1), words], 1))
             n += batch.num_rows
-            while n >= tile:
-                x = np.concatenate(held)
-                yield out(np.ascontiguousarray(x[:tile]))
-                held, n = [x[tile:]], n - tile
+            if set_bytes:
+                sets += column_of(batch, "set").to_pylist()
+            x = np.concatenate(held)
+            while n:
+                fit = n if not set_bytes else max(1, int(np.searchsorted(np.cumsum(list(map(len, sets))), set_bytes, side="right")))
+                if min(fit, n) < n or n >= tile:
+                    cut = min(fit, tile)
+                    yield out(np.ascontiguousarray(x[:cut]), sets[:cut])
+                    x, sets, n = x[cut:], sets[cut:], n - cut
+                else:
+                    break
+            held = [x]
         if n:
-            yield out(np.concatenate(held))
-
-    # few partitions give full tiles; an eighth of a million fingerprints is a light task
-    parts = max(1, -(-rows.count() // (8 * tile)))
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*rows.columns[:fields], "fp")
+            yield out(np.concatenate(held), sets)
+
+    # few partitions give full tiles; an eighth of a million fingerprints, or eight tiles of sets, is a light task
+    if set_bytes:
+        parts = -(-(rows.agg(F.sum("n")).first()[0] or 0) // set_bytes)
+    else:
+        parts = -(-rows.count() // (8 * tile))
+    ordered = rows.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).select(*rows.columns[:fields], "fp", *["set"][: bool(set_bytes)])
     return staged(ordered.mapInArrow(pack, _TILE), "tiles")
 
 
 def tile_pairs(tiles: DataFrame, radius: int, reach: int) -> DataFrame:
-    """(ta, tb, body_a, body_b) of the tiles whose rows may be within the radius, ta <= tb, evenly dealt."""
-    head = tiles.drop("body")
+    """(ta, tb, body_a, body_b, sets_a, sets_b) of the tiles whose rows may be within the radius, ta <= tb, evenly dealt."""
+    head = tiles.drop("body", "sets")
     a = head.select(F.col("tile").alias("ta"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence("least", "most")).alias("p"))
     b = head.select(F.col("tile").alias("tb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.col("least") - reach, F.col("most") + reach)).alias("p"))
     gaps = F.zip_with(F.arrays_zip("la", "ha"), F.arrays_zip("lb", "hb"), lambda x, y: F.greatest(F.lit(0), y["lb"] - x["ha"], x["la"] - y["hb"]))
     pairs = staged(a.join(b, "p").filter("ta <= tb").filter(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius).select("ta", "tb").distinct(), "tile-pairs")
-    left = tiles.select(F.col("tile").alias("ta"), F.col("body").alias("body_a"))
-    right = tiles.select(F.col("tile").alias("tb"), F.col("body").alias("body_b"))
+    left = tiles.select(F.col("tile").alias("ta"), F.col("body").alias("body_a"), F.col("sets").alias("sets_a"))
+    right = tiles.select(F.col("tile").alias("tb"), F.col("body").alias("body_b"), F.col("sets").alias("sets_b"))
     # a pair is much work and few bytes, so the number of tasks follows the pairs
     return pairs.join(left, "ta").join(right, "tb").repartition(min(max(pairs.count(), 1), 10_000), "ta", "tb")
 
@@ -323,40 +340,63 @@ def set_prints(documents: DataFrame, id_col: str, text_col: str, size: int = WID
     return hashed.mapInArrow(run, f"`{id_col}` {kind}, hash long, node long, n long, fp binary")
 
 
-def candidates(tiles: DataFrame, known: bool, radius: int = WIDE_RADIUS, first: int = FIRST_RADIUS, similar: tuple[int, int] = SIMILAR, lanes: int = WIDE_LANES) -> DataFrame:
-    """(a, b) of nodes within the radius. Of each node and pair of tiles its nearest and its first earlier one; or, if
-    groups are known (rows are node, n, group), all pairs that differ in their group.
-    """
-    fields = 3 if known else 2
+def _tiles_of(batch: pa.RecordBatch, fields: int, lanes: int):
+    """(same, rows, words, sets) of each pair of tiles: the rows, fingerprints and sets of either."""
+    columns = [column_of(batch, c) for c in ("ta", "tb", "body_a", "body_b", "sets_a", "sets_b")]
+    for i in range(batch.num_rows):
+        ta, tb, x, y, *sets = (c[i].as_py() for c in columns)
+        rows = [np.frombuffer(v, np.int64).reshape(-1, fields + lanes) for v in (x, y)]
+        yield ta == tb, rows, [np.ascontiguousarray(v[:, fields:]).view(np.uint64) for v in rows], [np.frombuffer(v, np.uint64) for v in sets]
+
+
+def with_candidates(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], lanes: int = WIDE_LANES) -> DataFrame:
+    """(node) of the rows (node, n) that have another within the radius, of a size that allows the similarity."""
 
     def run(batches):
         for batch in batches:
-            columns = [column_of(batch, c) for c in ("ta", "tb", "body_a", "body_b")]
-            for i in range(batch.num_rows):
-                ta, tb, x, y = (c[i].as_py() for c in columns)
-                x, y = (np.frombuffer(v, np.int64).reshape(-1, fields + lanes) for v in (x, y))
-                words = [np.ascontiguousarray(v[:, fields:]).view(np.uint64) for v in (x, y)]
-                found = close_pairs(words[0], None if ta == tb else words[1], radius, first, (x[:, 1], y[:, 1], similar))
-                if known:
-                    for p, q, _ in found:
-                        apart = x[p, 2] != y[q, 2]
-                        if apart.any():
-                            yield as_batch(a=pa.array(np.minimum(x[p, 0], y[q, 0])[apart]), b=pa.array(np.maximum(x[p, 0], y[q, 0])[apart]))
-                    continue
-                nearest, distance, least = (np.full(len(y), v) for v in (-1, 1 << 20, len(x)))
-                for p, q, d in found:
-                    order = np.lexsort((p, d, q))
-                    p, q, d = p[order], q[order], d[order]
-                    lead = np.r_[True, q[1:] != q[:-1]]
-                    better = d[lead] < distance[q[lead]]
-                    nearest[q[lead][better]], distance[q[lead][better]] = p[lead][better], d[lead][better]
-                    np.minimum.at(least, q, p)
-                j = np.flatnonzero(nearest >= 0)
-                p, q = np.r_[nearest[j], least[j]], np.r_[j, j]
-                if len(p):
-                    yield as_batch(a=pa.array(np.minimum(x[p, 0], y[q, 0])), b=pa.array(np.maximum(x[p, 0], y[q, 0])))
-
-    return tile_pairs(tiles, radius, 1).mapInArrow(run, "a long, b long").distinct()
+            for same, (x, y), (a, b), _ in _tiles_of(batch, 2, lanes):
+                met_x, met_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+                for p, q, _ in close_pairs(a, None if same else b, radius, first, (x[:, 1], y[:, 1], similar)):
+                    met_x[p], met_y[q] = True, True
+                yield as_batch(node=pa.array(np.concatenate([x[met_x, 0], y[met_y, 0]])))
+
+    return tile_pairs(tiles, radius, 1).mapInArrow(run, "node long").distinct()
+
+
+def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each of some sorted sets has in common with one; none is empty."""
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    starts = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat(hit.astype(np.int64), starts)
+
+
+def set_links(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], lanes: int = WIDE_LANES) -> DataFrame:
+    """(src, dst) of nodes whose sets are similar enough: of each pair of tiles the links of a spanning star of each group."""
+    top, below = similar
+
+    def run(batches):
+        for batch in batches:
+            for same, (x, y), (a, b), flat in _tiles_of(batch, 2, lanes):
+                sets = [np.split(f, np.cumsum(v[:, 1])[:-1]) for f, v in zip(flat, (x, y))]
+                shift, sizes = 0 if same else len(x), y[:, 1]
+                node = x[:, 0] if same else np.concatenate([x[:, 0], y[:, 0]])
+                label = np.arange(len(node))
+                for p, q, _ in close_pairs(a, None if same else b, radius, first, (x[:, 1], y[:, 1], similar)):
+                    order = np.argsort(p, kind="stable")
+                    p, q = p[order], q[order]
+                    lead = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                    for i, some in zip(p[lead], np.split(q, lead[1:])):
+                        some = some[label[some + shift] != label[i]]  # those in its group already need no look
+                        if not len(some):
+                            continue
+                        both = shared_counts(sets[0][i], [sets[1][j] for j in some])
+                        near = some[below * both >= top * (x[i, 1] + sizes[some] - both)]
+                        _local_components(len(label), np.full(len(near), i), near + shift, label)
+                member = np.flatnonzero(label != np.arange(len(label)))
+                yield as_batch(src=pa.array(node[label[member]]), dst=pa.array(node[member]))
+
+    return tile_pairs(tiles, radius, 1).mapInArrow(run, "src long, dst long")
 
 
 def _size_class(top: int, below: int):
@@ -412,68 +452,37 @@ def sets_of(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def near_pairs(pairs: DataFrame, bodies: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The (src, dst) of pairs (a, b) whose sets (node, set) are similar enough."""
-    top, below = similar
-    joined = pairs.join(bodies.toDF("a", "set_a"), "a").join(bodies.toDF("b", "set_b"), "b")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(column_of(batch, "set_a"), column_of(batch, "set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(below * both >= top * (len(x) + len(y) - both))
-            yield as_batch(src=column_of(batch, "a"), dst=column_of(batch, "b")).filter(pa.array(keep, pa.bool_()))
-
-    return joined.mapInArrow(run, "src long, dst long")
-
-
-def near_copies(documents: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, tile: int = TILE // 2) -> DataFrame:
+def near_copies(documents: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, tile: int = TILE // 2, set_bytes: int = SET_BYTES) -> DataFrame:
     """(node, component) of the sets that have a near copy; classes: (node, n, fp, lead), one row a set."""
-    reach = _size_class(*similar)
-    lead = F.col(f"lead.{id_col}").alias(id_col), F.col("lead.hash").alias("hash"), "node"
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = staged(classes.join(named, "node", "left_semi").select(*lead), "wanted")
-        bodies = sets_of(documents, wanted, id_col, text_col, size)
-        links = staged(near_pairs(pairs, bodies, similar), "near")
-        dropped(wanted, bodies)
-        return links
-
+    reach, bounds = _size_class(*similar), (WIDE_RADIUS, FIRST_RADIUS, similar)
     rows = classes.filter(F.col("n") >= LEAST_SET)
     tiles = tile_table(rows.select("node", "n", "fp"), ["n", "node"], WIDE_LANES, tile, 2, reach)
-    pairs = staged(candidates(tiles, False, similar=similar), "pairs")
-    dropped(tiles)
-    if pairs.isEmpty():
-        return documents.sparkSession.createDataFrame([], "node long, component long")
-    links = verified(pairs)
-    groups = components(links)
-    # what stands near one of another group: only rows that have a candidate can
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    grouped = rows.join(named, "node", "left_semi").join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "fp")
-    tiles = tile_table(staged(grouped, "grouped"), ["n", "node"], WIDE_LANES, tile, 3, reach)
-    more = staged(candidates(tiles, True, similar=similar).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    named = staged(with_candidates(tiles, *bounds), "named")
     dropped(tiles)
-    return groups if more.isEmpty() else components(links.unionByName(verified(more)))
+    mine = staged(rows.join(named, "node", "left_semi"), "with-candidates")
+    bodies = sets_of(documents, mine.select(F.col(f"lead.{id_col}").alias(id_col), F.col("lead.hash").alias("hash"), "node"), id_col, text_col, size)
+    tiles = tile_table(mine.join(bodies, "node").select("node", "n", "fp", "set"), ["n", "node"], WIDE_LANES, tile, 2, reach, set_bytes)
+    out = components(set_links(tiles, *bounds))
+    dropped(named, mine, bodies, tiles)
+    return out
 
 
-def keep_distinct(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def keep_distinct(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, **tiling) -> DataFrame:
     """A row of each group of near copies, that of the smallest id (then text hash); rows without id stay.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are what such
     links connect. Candidates are pairs of fingerprints within WIDE_RADIUS bits: at a similarity of exactly 0.8 that
-    misses a pair in some ten thousand, above it far fewer. First each text is checked against its nearest and its first
-    earlier one of each pair of tiles, then all candidates that differ in the groups found so far, so a large
-    group of near copies costs links in proportion. No pair is linked without its sets.
+    misses a pair in some ten thousand, above it far fewer. Texts that have a candidate are tiled once more, now with their
+    sets, and each pair of tiles links its candidates by the sets themselves; a text is not checked against those of its
+    group, and a pair of tiles gives a spanning star of each group, so a large group costs links in proportion. No pair is
+    linked without its sets.
 
     Each row is judged by its own text, so an id may stay with several texts; of equal rows one stays.
     """
     prints = staged(set_prints(documents, id_col, text_col, size), "set-prints")
     found = prints.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(F.struct(id_col, "hash")).alias("lead"))
     classes = staged(found, "set-classes")
-    groups = near_copies(documents, classes, id_col, text_col, size, similar)
+    groups = near_copies(documents, classes, id_col, text_col, size, similar, **tiling)
     leads = classes.join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("lead").alias("lead"))
     keys = staged(leads.select(F.col(f"lead.{id_col}").alias("_id"), F.col("lead.hash").alias("_hash")), "leads")
     again = staged(prints.groupBy(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")).count().filter("count > 1").select("_id", "_hash"), "repeated")
