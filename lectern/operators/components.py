@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.staging import dropped, staged
 
+#: So few links are finished in one task.
+LOCAL = 1 << 20
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n places the least that links a-b reach."""
+    label = np.arange(n)
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not (label[label] == label).all():
+            label = label[label]
+    return label
+
+
+def finished(links: DataFrame) -> DataFrame:
+    """(node, component) of a bounded number of links (src, dst), in one task."""
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        ends = pa.chunked_array([b.column(k) for k in (0, 1) for b in held]).combine_chunks().dictionary_encode()
+        names = ends.dictionary
+        order = pc.sort_indices(names).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        code = rank[ends.indices.to_numpy()]
+        label = least_reachable(len(order), code[: len(code) // 2], code[len(code) // 2 :])
+        names = names.take(pa.array(order))
+        for at in range(0, len(names), 100_000):
+            yield pa.RecordBatch.from_arrays([names.slice(at, 100_000), names.take(pa.array(label[at : at + 100_000]))], names=["node", "component"])
+
+    kind = links.schema["src"].dataType.simpleString()
+    return links.select("src", "dst").coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
 
 def roots(moves: DataFrame) -> DataFrame:
     """(node, component) with each node's component replaced by the end of its chain; moves never go up.
@@ -24,17 +65,27 @@ def roots(moves: DataFrame) -> DataFrame:
             return moves
 
 
-def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def components(links: DataFrame, src: str = "src", dst: str = "dst", local: int = LOCAL) -> DataFrame:
     """(node, component): the smallest node reachable, for each node that has a link to another.
 
     Each round every node points to its smallest neighbour, chains of pointers are followed to their ends, and links move
     there. A node without a smaller neighbour either draws another in or is next to a smaller one after the
     round, so two rounds halve the nodes at least: rounds grow as the logarithm of the nodes, steps of a round likewise.
-    Joined tables are read from files, which lets Spark split what a hot node deals out.
+    Once there are `local` links or fewer, one task finishes them. Joined tables are read from files, which lets Spark split
+    what a hot node deals out.
     """
     e = staged(links.select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")).filter("src <> dst").distinct(), "links")
     out = None
-    while True:
+
+    def followed(move: DataFrame) -> DataFrame:
+        if out is None:
+            return move
+        step = move.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        joined = staged(out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "components")
+        dropped(out, move)
+        return joined
+
+    while (n := e.count()) > local:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         first = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
         move = roots(staged(first, "moves"))
@@ -42,15 +93,10 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         b = move.select(F.col("node").alias("dst"), F.col("component").alias("b"))
         moved = e.join(a, "src").join(b, "dst").filter("a <> b")
         left = staged(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
-        if out is None:
-            out = move
-        else:
-            step = move.select(F.col("node").alias("component"), F.col("component").alias("next"))
-            joined = staged(out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "components")
-            dropped(out, move)
-            out = joined
+        out = followed(move)
         dropped(e)
         e = left
-        if e.isEmpty():
-            dropped(e)
-            return out
+    if n or out is None:
+        out = followed(staged(finished(e), "finished"))
+    dropped(e)
+    return out
