@@ -3,8 +3,8 @@
 Vectors are cut into blocks of their int8 forms; only these travel to the blocks of queries. A block of queries meets a
 fixed number of blocks of candidates in a task: the product of the int8 forms, with each vector's scale, gives
 every inner product to within a bound that the residuals' norms prove. Pairs that can still be among a query's best k by
-that bound survive; those of all tasks are cut once more by the k-th best lower bound of the query, computed
-again from the original vectors in double precision, and merged by heaps.
+that bound are bounded anew with the int8 forms of the residuals; what survives in all tasks is cut once more by the k-th
+best lower bound of the query, computed again from the original vectors in double precision, and merged by heaps.
 
 Equal vectors stand in one block, under their k + 1 smallest ids; others of that vector cannot be among any k best.
 
@@ -91,7 +91,7 @@ def _thinned(k: int, rows: int = 8192):
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(int8 rows, scales, norms of what the int8 form leaves, norms of the int8 form)."""
-    scale = np.abs(x).max(1) / 127
+    scale = np.maximum(np.abs(x).max(1) / 127, 1e-300)
     q = np.rint(x / scale[:, None]).astype(np.int8)
     form = q * scale[:, None]
     return q, scale, np.linalg.norm(x - form, axis=1), np.linalg.norm(form, axis=1)
@@ -101,11 +101,12 @@ _BLOCK = "dim int, ids binary, body binary, sizes binary"
 
 
 def _pack(rows: int, k: int | None):
-    """Blocks of int8 forms, with each row's scale, residual's, form's and own norm; k: of candidates only."""
+    """Blocks of int8 forms and the int8 forms of what those leave, with each row's scales and norms; k: of candidates only."""
 
     def block(dim: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         q, *norms = quantise(x)
-        sizes = np.stack([*norms, np.linalg.norm(x, axis=1)])
+        left, scale, rest, _ = quantise(x - q * norms[0][:, None])
+        sizes, q = np.stack([*norms, np.linalg.norm(x, axis=1), scale, rest]), np.concatenate([q, left], 1)
         return as_batch(dim=pa.array([dim], pa.int32()), ids=pa.array([ids.tobytes()], pa.binary()), body=pa.array([q.tobytes()], pa.binary()), sizes=pa.array([sizes.tobytes()], pa.binary()))
 
     def run(batches):
@@ -126,8 +127,13 @@ class Form:
     """A block as it travels."""
 
     def __init__(self, dim: int, ids: bytes, body: bytes, sizes: bytes):
-        self.ids, self.q = np.frombuffer(ids, np.int64), np.frombuffer(body, np.int8).reshape(-1, dim)
-        self.scale, self.rest, self.form, self.norm = np.frombuffer(sizes, np.float64).reshape(4, -1)
+        both = np.frombuffer(body, np.int8).reshape(-1, 2 * dim)
+        self.ids, self.q, self.left = np.frombuffer(ids, np.int64), both[:, :dim], both[:, dim:]
+        self.scale, self.rest, self.form, self.norm, self.scale_left, self.rest_left = np.frombuffer(sizes, np.float64).reshape(6, -1)
+
+    def fine(self, rows: np.ndarray) -> np.ndarray:
+        """The sum of both forms of some rows."""
+        return self.q[rows] * self.scale[rows, None] + self.left[rows] * self.scale_left[rows, None]
 
 
 def kth_of(ids: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
@@ -165,8 +171,14 @@ class Survivors:
         own = mine.ids[:, None] == ids[None, :]
         self.floor = np.maximum(self.floor, kth_of(ids, np.where(own, -np.inf, tile - slack), self.k))
         row, col = np.nonzero((tile + slack >= self.floor[:, None]) & ~own)
-        self.rows.append(np.stack([row, ids[col]]))
-        self.bounds.append(np.stack([tile[row, col] - slack[row, col], tile[row, col] + slack[row, col]]))
+        # vectors that lie closer than int8 tells apart: what is left of both gives bounds that are over a hundred times closer
+        value, col = np.empty(len(row)), col + part.start
+        for at in range(0, len(row), PAIRS):
+            r, c = row[at : at + PAIRS], col[at : at + PAIRS]
+            value[at : at + PAIRS] = (mine.fine(r) * other.fine(c)).sum(1)
+        width = (mine.norm[row] + mine.rest_left[row]) * other.rest_left[col] + mine.rest_left[row] * other.norm[col] + 1e-12 * mine.norm[row] * other.norm[col]
+        self.rows.append(np.stack([row, other.ids[col]]))
+        self.bounds.append(np.stack([value - width, value + width]))
 
     def _cut(self) -> None:
         rows, bounds = np.concatenate(self.rows, 1), np.concatenate(self.bounds, 1)
@@ -221,9 +233,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     asked, every = clean(queries).groupBy("id").agg(F.min("vector").alias("vector")), clean(vectors)
     n_asked, n_every = asked.count(), every.count()
     # equal vectors are thinned where they lie, then brought together
-    thin = every.mapInArrow(_thinned(k), "id long, vector array<double>").repartition(max(1, -(-n_every // CANDIDATES)), F.xxhash64("vector"))
+    thin = every.mapInArrow(_thinned(k), "id long, vector array<double>")
+    blocks = max(1, -(-n_every // CANDIDATES))  # whatever the session's partitions: small blocks would meet often
+    thin = thin.repartition(blocks, F.xxhash64("vector")).coalesce(blocks)
     others = staged(thin.mapInArrow(_pack(CANDIDATES, k), _BLOCK), "candidates").withColumn("block", F.monotonically_increasing_id())
-    mine = asked.repartition(max(1, -(-n_asked // QUERIES))).mapInArrow(_pack(QUERIES, None), _BLOCK)
+    mine = asked.coalesce(max(1, -(-n_asked // QUERIES))).mapInArrow(_pack(QUERIES, None), _BLOCK)
     mine = staged(staged(mine, "raw-queries").withColumn("qb", F.monotonically_increasing_id()), "queries")
     n_mine, n_others = max(1, mine.count()), max(1, others.count())
     # a task meets a fixed number of blocks, however many there are; fewer where that leaves cores idle
@@ -253,7 +267,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     bounds = found.groupBy("query_id", "id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))
     lists = bounds.groupBy("query_id").agg(F.sort_array(F.collect_list("lower"), asc=False).alias("l"), F.collect_list(F.struct("id", "upper")).alias("c"))
     floor = F.when(F.size("l") >= k, F.element_at("l", k)).otherwise(F.lit(float("-inf")))
-    kept = lists.withColumn("floor", floor).select("query_id", F.explode("c").alias("c"), "floor").filter("c.upper >= floor")
+    kept = lists.withColumn("floor", floor).select("query_id", F.explode(F.expr("filter(c, x -> x.upper >= floor)")).alias("c"))
     pairs = kept.select("query_id", F.col("c.id").alias("id"))
     left = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
     joined = staged(pairs, "pairs").join(every, "id").join(left, "query_id").filter(F.size("q") == F.size("vector"))
