@@ -68,7 +68,7 @@ def trained(samples: list[bytes], size: int, segment: int = 16, unit: int = 8) -
 
 
 def _compressor(content: bytes):
-    rules = zstd.ZstdCompressionParameters.from_level(19, window_log=17, min_match=6, strategy=zstd.STRATEGY_BTOPT)
+    rules = zstd.ZstdCompressionParameters.from_level(19, window_log=17, min_match=6, strategy=zstd.STRATEGY_GREEDY)
     if not content:
         return zstd.ZstdCompressor(compression_params=rules).compress
     book = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
