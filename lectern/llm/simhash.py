@@ -159,7 +159,7 @@ def tile_links(a_fp: np.ndarray, b_fp: np.ndarray | None, radius: int) -> tuple[
     return label[member], member
 
 
-_TILE = "tile long, lo array<int>, hi array<int>, least int, most int, body binary, sets binary"
+_TILE = "tile long, rows long, lo array<int>, hi array<int>, least int, most int, body binary, sets binary"
 
 
 def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields: int, reach, set_bytes: int | None = None) -> DataFrame:
@@ -181,7 +181,7 @@ def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields:
             least, most = reach(x, pops)
             seq += 1
             return as_batch(
-                tile=pa.array([part * (1 << 32) + seq]), lo=pa.array([pops.min(0)], pa.list_(pa.int32())), hi=pa.array([pops.max(0)], pa.list_(pa.int32())), least=pa.array([int(least)], pa.int32()), most=pa.array([int(most)], pa.int32()),
+                tile=pa.array([part * (1 << 32) + seq]), rows=pa.array([len(x)]), lo=pa.array([pops.min(0)], pa.list_(pa.int32())), hi=pa.array([pops.max(0)], pa.list_(pa.int32())), least=pa.array([int(least)], pa.int32()), most=pa.array([int(most)], pa.int32()),
                 body=pa.array([x.tobytes()], pa.binary()), sets=pa.array([b"".join(mine)], pa.binary()),
             )
 
@@ -211,21 +211,23 @@ def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields:
         parts = -(-(rows.agg(F.sum("n")).first()[0] or 0) // set_bytes)
     else:
         parts = -(-rows.count() // (8 * tile))
-    ordered = rows.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).select(*rows.columns[:fields], "fp", *["set"][: bool(set_bytes)])
+    parts = max(1, parts)  # whatever the session's partitions: small tiles would meet in many pairs
+    ordered = rows.repartitionByRange(parts, *order).coalesce(parts).sortWithinPartitions(*order).select(*rows.columns[:fields], "fp", *["set"][: bool(set_bytes)])
     return staged(ordered.mapInArrow(pack, _TILE), "tiles")
 
 
-def tile_pairs(tiles: DataFrame, radius: int, reach: int) -> DataFrame:
+def tile_pairs(tiles: DataFrame, radius: int, reach: int, tile: int) -> DataFrame:
     """(ta, tb, body_a, body_b, sets_a, sets_b) of the tiles whose rows may be within the radius, ta <= tb, evenly dealt."""
     head = tiles.drop("body", "sets")
-    a = head.select(F.col("tile").alias("ta"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence("least", "most")).alias("p"))
-    b = head.select(F.col("tile").alias("tb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.col("least") - reach, F.col("most") + reach)).alias("p"))
+    a = head.select(F.col("tile").alias("ta"), F.col("rows").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence("least", "most")).alias("p"))
+    b = head.select(F.col("tile").alias("tb"), F.col("rows").alias("nb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.col("least") - reach, F.col("most") + reach)).alias("p"))
     gaps = F.zip_with(F.arrays_zip("la", "ha"), F.arrays_zip("lb", "hb"), lambda x, y: F.greatest(F.lit(0), y["lb"] - x["ha"], x["la"] - y["hb"]))
-    pairs = staged(a.join(b, "p").filter("ta <= tb").filter(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius).select("ta", "tb").distinct(), "tile-pairs")
+    pairs = staged(a.join(b, "p").filter("ta <= tb").filter(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius).select("ta", "tb", (F.col("na") * F.col("nb")).alias("work")).distinct(), "tile-pairs")
     left = tiles.select(F.col("tile").alias("ta"), F.col("body").alias("body_a"), F.col("sets").alias("sets_a"))
     right = tiles.select(F.col("tile").alias("tb"), F.col("body").alias("body_b"), F.col("sets").alias("sets_b"))
-    # a pair is much work and few bytes, so the number of tasks follows the pairs
-    return pairs.join(left, "ta").join(right, "tb").repartition(min(max(pairs.count(), 1), 10_000), "ta", "tb")
+    # a pair is much work and few bytes, so the number of tasks follows the work: two for a pair of full tiles
+    tasks = -(-2 * (pairs.agg(F.sum("work")).first()[0] or 0) // tile**2)
+    return pairs.drop("work").join(left, "ta").join(right, "tb").repartition(min(max(tasks, 1), 10_000), "ta", "tb")
 
 
 def near_links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -252,7 +254,7 @@ def near_links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFra
                 if len(root):
                     yield as_batch(src=pa.array(rep[root]), dst=pa.array(rep[member]))
 
-    return tile_pairs(tiles, radius, radius).mapInArrow(compare, "src long, dst long")
+    return tile_pairs(tiles, radius, radius, tile).mapInArrow(compare, "src long, dst long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -349,7 +351,7 @@ def _tiles_of(batch: pa.RecordBatch, fields: int, lanes: int):
         yield ta == tb, rows, [np.ascontiguousarray(v[:, fields:]).view(np.uint64) for v in rows], [np.frombuffer(v, np.uint64) for v in sets]
 
 
-def with_candidates(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], lanes: int = WIDE_LANES) -> DataFrame:
+def with_candidates(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], tile: int, lanes: int = WIDE_LANES) -> DataFrame:
     """(node) of the rows (node, n) that have another within the radius, of a size that allows the similarity."""
 
     def run(batches):
@@ -360,7 +362,7 @@ def with_candidates(tiles: DataFrame, radius: int, first: int, similar: tuple[in
                     met_x[p], met_y[q] = True, True
                 yield as_batch(node=pa.array(np.concatenate([x[met_x, 0], y[met_y, 0]])))
 
-    return tile_pairs(tiles, radius, 1).mapInArrow(run, "node long").distinct()
+    return tile_pairs(tiles, radius, 1, tile).mapInArrow(run, "node long").distinct()
 
 
 def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -371,7 +373,7 @@ def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit.astype(np.int64), starts)
 
 
-def set_links(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], lanes: int = WIDE_LANES) -> DataFrame:
+def set_links(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], tile: int, lanes: int = WIDE_LANES) -> DataFrame:
     """(src, dst) of nodes whose sets are similar enough: of each pair of tiles the links of a spanning star of each group."""
     top, below = similar
 
@@ -396,7 +398,7 @@ def set_links(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int
                 member = np.flatnonzero(label != np.arange(len(label)))
                 yield as_batch(src=pa.array(node[label[member]]), dst=pa.array(node[member]))
 
-    return tile_pairs(tiles, radius, 1).mapInArrow(run, "src long, dst long")
+    return tile_pairs(tiles, radius, 1, min(tile, 1024)).mapInArrow(run, "src long, dst long")
 
 
 def _size_class(top: int, below: int):
@@ -454,7 +456,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
 def near_copies(documents: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, tile: int = TILE // 2, set_bytes: int = SET_BYTES) -> DataFrame:
     """(node, component) of the sets that have a near copy; classes: (node, n, fp, lead), one row a set."""
-    reach, bounds = _size_class(*similar), (WIDE_RADIUS, FIRST_RADIUS, similar)
+    reach, bounds = _size_class(*similar), (WIDE_RADIUS, FIRST_RADIUS, similar, tile)
     rows = classes.filter(F.col("n") >= LEAST_SET)
     tiles = tile_table(rows.select("node", "n", "fp"), ["n", "node"], WIDE_LANES, tile, 2, reach)
     named = staged(with_candidates(tiles, *bounds), "named")

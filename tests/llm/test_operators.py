@@ -125,6 +125,17 @@ def test_equal_vectors_keep_distinct_ids(spark):
     assert sorted((g.rank, g.vec_id) for g in got) == [(1, 0), (2, 1), (3, 2), (4, 3)]
 
 
+def test_neighbours_in_a_cluster_that_int8_cannot_part(spark):
+    r = np.random.default_rng(14)
+    x = np.r_[1 + 1e-4 * r.normal(size=(900, 16)), r.normal(size=(300, 16))]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, d.filter("vec_id % 100 = 0"), 10).collect()
+    for q in range(0, 1200, 100):
+        s = neighbours._in_order(np.repeat(x[q : q + 1], len(x), 0), x)
+        s[q] = -np.inf
+        assert [g.vec_id for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == np.lexsort((np.arange(len(x)), -s))[:10].tolist()
+
+
 def test_neighbours_int8_bound():
     r = np.random.default_rng(4)
     a, b = r.normal(size=(50, 9)), r.normal(size=(60, 9)) * 10
