@@ -32,6 +32,8 @@ from lectern.staging import dropped
 #: Fingerprints of a tile, and of the runs that are skipped or compared inside it.
 TILE = 16_384
 RUN = 256
+#: Comparisons of fingerprints that make a task.
+TASK_WORK = 1 << 27
 #: Near copies: words of a shingle, the least similarity as a fraction, 64-bit words of a fingerprint.
 WIDE_SIZE = 5
 SIMILAR = (4, 5)
@@ -216,7 +218,7 @@ def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields:
     return staged(ordered.mapInArrow(pack, _TILE), "tiles")
 
 
-def tile_pairs(tiles: DataFrame, radius: int, reach: int, tile: int) -> DataFrame:
+def tile_pairs(tiles: DataFrame, radius: int, reach: int) -> DataFrame:
     """(ta, tb, body_a, body_b, sets_a, sets_b) of the tiles whose rows may be within the radius, ta <= tb, evenly dealt."""
     head = tiles.drop("body", "sets")
     a = head.select(F.col("tile").alias("ta"), F.col("rows").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence("least", "most")).alias("p"))
@@ -225,9 +227,10 @@ def tile_pairs(tiles: DataFrame, radius: int, reach: int, tile: int) -> DataFram
     pairs = staged(a.join(b, "p").filter("ta <= tb").filter(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius).select("ta", "tb", (F.col("na") * F.col("nb")).alias("work")).distinct(), "tile-pairs")
     left = tiles.select(F.col("tile").alias("ta"), F.col("body").alias("body_a"), F.col("sets").alias("sets_a"))
     right = tiles.select(F.col("tile").alias("tb"), F.col("body").alias("body_b"), F.col("sets").alias("sets_b"))
-    # a pair is much work and few bytes, so the number of tasks follows the work: two for a pair of full tiles
-    tasks = -(-2 * (pairs.agg(F.sum("work")).first()[0] or 0) // tile**2)
-    return pairs.drop("work").join(left, "ta").join(right, "tb").repartition(min(max(tasks, 1), 10_000), "ta", "tb")
+    # a pair is much work and few bytes, so the number of tasks follows the work
+    total = pairs.agg(F.sum("work").alias("work"), F.count("*").alias("n")).first()
+    tasks = min(total.n, -(-(total.work or 0) // TASK_WORK), 10_000)
+    return pairs.drop("work").join(left, "ta").join(right, "tb").repartition(max(tasks, 1), "ta", "tb")
 
 
 def near_links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -254,7 +257,7 @@ def near_links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFra
                 if len(root):
                     yield as_batch(src=pa.array(rep[root]), dst=pa.array(rep[member]))
 
-    return tile_pairs(tiles, radius, radius, tile).mapInArrow(compare, "src long, dst long")
+    return tile_pairs(tiles, radius, radius).mapInArrow(compare, "src long, dst long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -351,7 +354,7 @@ def _tiles_of(batch: pa.RecordBatch, fields: int, lanes: int):
         yield ta == tb, rows, [np.ascontiguousarray(v[:, fields:]).view(np.uint64) for v in rows], [np.frombuffer(v, np.uint64) for v in sets]
 
 
-def with_candidates(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], tile: int, lanes: int = WIDE_LANES) -> DataFrame:
+def with_candidates(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], lanes: int = WIDE_LANES) -> DataFrame:
     """(node) of the rows (node, n) that have another within the radius, of a size that allows the similarity."""
 
     def run(batches):
@@ -362,7 +365,7 @@ def with_candidates(tiles: DataFrame, radius: int, first: int, similar: tuple[in
                     met_x[p], met_y[q] = True, True
                 yield as_batch(node=pa.array(np.concatenate([x[met_x, 0], y[met_y, 0]])))
 
-    return tile_pairs(tiles, radius, 1, tile).mapInArrow(run, "node long").distinct()
+    return tile_pairs(tiles, radius, 1).mapInArrow(run, "node long").distinct()
 
 
 def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -373,7 +376,7 @@ def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit.astype(np.int64), starts)
 
 
-def set_links(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], tile: int, lanes: int = WIDE_LANES) -> DataFrame:
+def set_links(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], lanes: int = WIDE_LANES) -> DataFrame:
     """(src, dst) of nodes whose sets are similar enough: of each pair of tiles the links of a spanning star of each group."""
     top, below = similar
 
@@ -398,7 +401,7 @@ def set_links(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int
                 member = np.flatnonzero(label != np.arange(len(label)))
                 yield as_batch(src=pa.array(node[label[member]]), dst=pa.array(node[member]))
 
-    return tile_pairs(tiles, radius, 1, min(tile, 1024)).mapInArrow(run, "src long, dst long")
+    return tile_pairs(tiles, radius, 1).mapInArrow(run, "src long, dst long")
 
 
 def _size_class(top: int, below: int):
@@ -454,9 +457,9 @@ def sets_of(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def near_copies(documents: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, tile: int = TILE // 2, set_bytes: int = SET_BYTES) -> DataFrame:
+def near_copies(documents: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, tile: int = 2 * TILE, set_bytes: int = SET_BYTES) -> DataFrame:
     """(node, component) of the sets that have a near copy; classes: (node, n, fp, lead), one row a set."""
-    reach, bounds = _size_class(*similar), (WIDE_RADIUS, FIRST_RADIUS, similar, tile)
+    reach, bounds = _size_class(*similar), (WIDE_RADIUS, FIRST_RADIUS, similar)
     rows = classes.filter(F.col("n") >= LEAST_SET)
     tiles = tile_table(rows.select("node", "n", "fp"), ["n", "node"], WIDE_LANES, tile, 2, reach)
     named = staged(with_candidates(tiles, *bounds), "named")
