@@ -37,8 +37,8 @@ def shortened(c: Column | str, n: int = 300) -> Column:
 def arxiv_id(url: Column | str) -> Column:
     """The paper id in an abs or pdf address, or ''."""
     u = F.col(url) if isinstance(url, str) else url
-    old = F.regexp_extract(u, r"arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1)
-    return F.coalesce(F.nullif(old, F.lit("")), F.regexp_extract(u, r"arxiv:([0-9]{4}\.[0-9]{4,5})", 1))
+    new = F.regexp_extract(u, r"arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1)
+    return F.coalesce(F.nullif(new, F.lit("")), F.regexp_extract(u, r"arxiv\.org/(?:abs|pdf)/([a-z-]+/[0-9]{7})", 1))
 
 
 def has_cjk(c: Column | str) -> Column:
@@ -115,15 +115,15 @@ def round_by(x: Column, factor: int) -> Column:
 
 
 def smart_resize(h: Column, w: Column, factor: int = 28, least: int = 256 * 28 * 28, most: int = 1280 * 28 * 28, ratio: int = 200) -> Column:
-    """(height, width) as multiples of factor with an area between least and most; a side over ratio times the other is cut."""
-    h = F.when(h / w > ratio, (w * ratio).cast("double")).otherwise(h.cast("double"))
-    w = F.when(w / h > ratio, h * ratio).otherwise(w.cast("double"))
+    """(height, width) as multiples of factor with an area between least and most; then a side over ratio times the other is cut to that."""
+    h, w = h.cast("double"), w.cast("double")
     hb, wb = F.greatest(F.lit(factor), round_by(h, factor)), F.greatest(F.lit(factor), round_by(w, factor))
     shrink, grow = F.sqrt(h * w / most), F.sqrt(least / (h * w))
     down = lambda x: F.floor(x / shrink / factor).cast("long") * factor
     up = lambda x: F.ceil(x * grow / factor).cast("long") * factor
     over, under = hb * wb > most, hb * wb < least
-    return F.struct(F.when(over, down(h)).when(under, up(h)).otherwise(hb).alias("height"), F.when(over, down(w)).when(under, up(w)).otherwise(wb).alias("width"))
+    height, width = (F.when(over, down(x)).when(under, up(x)).otherwise(b) for x, b in ((h, hb), (w, wb)))
+    return F.struct(F.least(height, width * ratio).alias("height"), F.least(width, height * ratio).alias("width"))
 
 
 def keyframe_times(duration: Column, n: Column) -> Column:
@@ -136,6 +136,57 @@ def data_url(content: Column | str, mime: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
 
 
-def merged_config(a: Column, b: Column) -> Column:
-    """Maps of generation settings: the later one wins."""
-    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+def merged_config(a: Column, b: Column, lists: str | None = None) -> Column:
+    """Maps of generation settings: the later one wins. Where values are lists, those under `lists` are united in order."""
+    out = F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+    if lists is None:
+        return out
+    both = F.array_union(F.coalesce(a[lists], F.array()), F.coalesce(b[lists], F.array()))
+    return F.when(F.map_contains_key(a, lists) & F.map_contains_key(b, lists), F.map_concat(F.map_filter(out, lambda k, _: k != lists), F.create_map(F.lit(lists), both))).otherwise(out)
+
+
+#: Endings that name a kind by themselves: fixed values.
+KINDS = ("pdf", "docx", "pptx", "csv", "tsv", "xlsx", "xls", "zip", "mp3", "jsonl", "pdb", "py", "xml")
+
+
+def file_kind(path: Column, mime: Column | None = None, content: Column | None = None) -> Column:
+    """What a file or address holds: by its ending; of other addresses by the content type, of other files by tags in the text."""
+    ending = F.lower(F.regexp_extract(url_basename(path), r"([^.]*)$", 1))
+    mime = F.lit("") if mime is None else F.coalesce(mime, F.lit(""))
+    web = F.when(F.contains(mime, F.lit("application/pdf")), "pdf").when(F.contains(mime, F.lit("application/msword")), "docx").otherwise("html")
+    tags = F.lit(False) if content is None else F.rlike(content, F.lit("<(p|span|div|li|html|script)[^>]*?"))
+    local = F.lit("unk") if content is None else F.when(content.isNull(), "unk").when(tags, "html").otherwise("txt")
+    return F.when(is_image(path), "image").when(ending.isin(*KINDS), ending).when(is_http(path), web).otherwise(local)
+
+
+def question_of(question: Column, message: Column) -> Column:
+    """The question, or else the second message's text, of that what stands between the first and second `User:`; null if blank."""
+    asked = F.when(F.contains(message, F.lit("User:")), stripped(F.split_part(message, F.lit("User:"), F.lit(2)))).otherwise(message)
+    return F.nullif(F.coalesce(F.nullif(stripped(question), F.lit("")), asked), F.lit(""))
+
+
+def truthy(values: Column) -> Column:
+    """An array without nulls and empty texts."""
+    return F.filter(values, lambda v: v.isNotNull() & (v != ""))
+
+
+def rendered_hit(i: Column, title: Column, url: Column, description: Column, date: Column, arxiv: Column) -> Column:
+    """A numbered search hit as lines; description (300 characters), date and id only where there are any."""
+    some = lambda label, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"    {label}: "), v))
+    return F.concat_ws("\n", F.concat(F.lit("["), i.cast("string"), F.lit("] Title: "), title), F.concat(F.lit("    URL: "), url), some("Summary", F.substring(description, 1, 300)), some("Date", date), some("ArXiv ID", arxiv), F.lit(""))
+
+
+def decoded(c: Column | str) -> Column:
+    """The bytes of base64 text, with or without a data URL's head."""
+    return F.unbase64(F.regexp_replace(c, "^data:[^,]*,", ""))
+
+
+def short_side(h: Column, w: Column, side: int) -> Column:
+    """(height, width) with the shorter side as given and the other in proportion."""
+    scale = F.lit(float(side)) / F.least(h, w)
+    return F.struct(F.round(h * scale).cast("long").alias("height"), F.round(w * scale).cast("long").alias("width"))
+
+
+def lenient_json(c: Column | str, schema: str) -> Column:
+    """A text's JSON, in a fence or bare, as schema; quotes, comments and keys may be written loosely. Null if it is none."""
+    return F.from_json(first_fence(c), schema, {"allowComments": "true", "allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "mode": "PERMISSIVE"})

@@ -49,11 +49,14 @@ def article_edges(entities: DataFrame) -> DataFrame:
 
     Where several types meet on a pair, cross_type counts before same_type before contains.
     """
-    star = canonical(entities.select("article", F.col("article").alias("a"), "entity"), "a", "entity", "article").withColumn("edge_type", F.lit("contains"))
-    same = same_type_edges(entities).withColumn("edge_type", F.lit("same_type"))
-    cross = cross_type_edges(entities).withColumn("edge_type", F.lit("cross_type"))
-    every = star.select("article", "src", "dst", "edge_type").unionByName(same).unionByName(cross)
-    return every.groupBy("article", "src", "dst").agg(F.max_by("edge_type", priority("edge_type")).alias("edge_type"))
+    e = entities.select("article", "entity_type", "entity").distinct()
+    other = e.select("article", F.col("entity_type").alias("type_b"), F.col("entity").alias("entity_b"))
+    kind = F.when(F.col("entity_type") == F.col("type_b"), EDGE_PRIORITY["same_type"]).otherwise(EDGE_PRIORITY["cross_type"])
+    pairs = e.join(other, "article").filter("entity < entity_b").select("article", F.col("entity").alias("src"), F.col("entity_b").alias("dst"), kind.alias("p"))
+    star = canonical(e.select("article", F.col("article").alias("a"), "entity"), "a", "entity", "article").withColumn("p", F.lit(EDGE_PRIORITY["contains"]))
+    best = star.select("article", "src", "dst", "p").unionByName(pairs).groupBy("article", "src", "dst").agg(F.max("p").alias("p"))
+    names = F.create_map(*[F.lit(x) for name, rank in EDGE_PRIORITY.items() for x in (rank, name)])
+    return best.select("article", "src", "dst", F.element_at(names, F.col("p")).alias("edge_type"))
 
 
 def priority(edge_type: str) -> Column:
@@ -117,9 +120,14 @@ def importance(nodes: DataFrame, degree: DataFrame) -> DataFrame:
 
 
 def top_fraction(scored: DataFrame, score: str, key: str, parts: int = 5) -> DataFrame:
-    """The best max(1, n // parts) rows by score, ties by key; found by rank, without sorting all rows in one task."""
+    """The best max(1, n // parts) rows by score, ties by key; ranks come from sorted partitions, no task gets all rows."""
+    from lectern.operators.scheduling import numbered
+
     n = scored.count()
-    return scored.orderBy(F.col(score).desc(), key).limit(max(1, n // parts)) if n else scored
+    if not n:
+        return scored
+    placed = numbered(scored.withColumn("_best", F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))), "_best", "_place")
+    return placed.filter(F.col("_place") < max(1, n // parts)).drop("_best", "_place")
 
 
 def triangles(edges: DataFrame) -> DataFrame:

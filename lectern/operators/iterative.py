@@ -73,8 +73,11 @@ def betweenness(edges: DataFrame, max_steps: int | None = None) -> DataFrame:
     return summed.groupBy("id").agg((F.sum("delta") * scale).alias("betweenness"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, weight: str | None = None) -> DataFrame:
-    """(id, rank) after a fixed number of rounds; nodes without an edge out share theirs among all."""
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, weight: str | None = None, tolerance: float | None = None) -> DataFrame:
+    """(id, rank) after a fixed number of rounds; with a tolerance also as soon as all ranks together move by less than n times it.
+
+    Every node of an undirected edge list has an edge out, so no rank is left over. `weight` names the edges' weights.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), w.cast("double").alias("w"))
     both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
@@ -85,10 +88,14 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, weight:
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for k in range(rounds):
         sent = links.join(ranks.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        # every node of an undirected edge list has an edge out, so nothing is left over
+        before = ranks
         ranks = nodes.join(sent, "id", "left").select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 4 == 3:
+        if k % 4 == 3 or tolerance is not None:
             ranks = staged(ranks, "ranks")
+        if tolerance is not None:
+            moved = ranks.join(before.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if (moved or 0.0) < n * tolerance:
+                break
     return ranks
 
 

@@ -9,11 +9,11 @@ from lectern.operators.dedup import dot
 
 
 def chunks(documents: DataFrame, key: str, text: str, size: int = 500, overlap: int = 100) -> DataFrame:
-    """(key, pos, chunk): pieces of `size` characters that overlap; the last one ends the text. Null texts give none."""
+    """(key, pos, chunk): pieces of `size` characters that overlap; the last one ends the text. Null and empty texts give none."""
     n, step = F.length(text), size - overlap
     count = F.when(n <= size, 1).otherwise(F.ceil((n - overlap) / step).cast("int"))
     pos = F.explode(F.sequence(F.lit(0), count - 1)).alias("pos")
-    return documents.filter(F.col(text).isNotNull()).select(key, text, pos).select(key, "pos", F.substring(F.col(text), F.col("pos") * step + 1, F.lit(size)).alias("chunk"))
+    return documents.filter(F.length(text) > 0).select(key, text, pos).select(key, "pos", F.substring(F.col(text), F.col("pos") * step + 1, F.lit(size)).alias("chunk"))
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str, query_key: str = "query_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("graph", "selection", "text")
+_MODULES = ("graph", "records", "selection", "text")
 
 
 def load_all() -> None:

@@ -264,7 +264,15 @@ def betweenness_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterative.betweenness(article_graph(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@register("eigenvector_centrality")
+def _eigenvector_sql(rounds: int) -> str:
+    parts = [f"WITH {ARTICLES}, x0 AS MATERIALIZED (SELECT DISTINCT u AS id, 1.0::DOUBLE AS x FROM adj)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"m{k} AS MATERIALIZED (SELECT id, sum(x) AS x FROM (SELECT v AS id, x FROM adj JOIN x{k - 1} ON u = id UNION ALL SELECT id, x FROM x{k - 1}) GROUP BY 1)")
+        parts.append(f"x{k} AS MATERIALIZED (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM m{k}) AS x FROM m{k})")
+    return ", ".join(parts) + f" SELECT id, round(x, 6) AS eigenvector FROM x{rounds}"
+
+
+@register("eigenvector_centrality", _eigenvector_sql(20))
 def eigenvector_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterative.eigenvector(article_graph(spark, sf_dir)).withColumn("eigenvector", F.round("eigenvector", 6))
 

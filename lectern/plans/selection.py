@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import iterative, lookup, retrieval, selection
-from lectern.plans.common import BIP, bipartite, graph_edges, table
+from lectern.operators import lookup, retrieval, selection
+from lectern.plans.common import BIP, bipartite, table
 from lectern.plans.graph import _IMPORTANCE, scored
 from lectern.plans.registry import register
 
@@ -80,13 +80,6 @@ def combo_entity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@register("random_walk")
-def random_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = scored(spark, sf_dir).filter("frequency >= 4").select("id")
-    starts = bipartite(spark, sf_dir).select("title").distinct().select(F.col("title").alias("walk"), F.col("title").alias("id"))
-    return iterative.random_walks(graph_edges(spark, sf_dir), starts, 8, important=top)
-
-
 @register(
     "walk_cooccurrence",
     """WITH w AS (SELECT o_custkey AS walk, 'S' || l_suppkey AS title, 'P' || l_partkey AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45)
@@ -178,7 +171,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunk_sql(where: str = "true") -> str:
     return f"""ch AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(text, CAST(pos * 400 + 1 AS BIGINT), 500) AS chunk FROM
-        (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 500 THEN 1 ELSE CAST(ceil((length(text) - 100) / 400) AS BIGINT) END)) AS pos FROM documents WHERE {where}))"""
+        (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 500 THEN 1 ELSE CAST(ceil((length(text) - 100) / 400) AS BIGINT) END)) AS pos FROM documents WHERE length(text) > 0 AND {where}))"""
 
 
 @register("chunk_documents", f"WITH {_chunk_sql()} SELECT doc_id, pos, chunk FROM ch")

@@ -17,9 +17,9 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalise("text").alias("norm"))
 
 
-@register("session_slug", r"""SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(trim(substr(text, 1, 160)), '[^\p{L}\p{N}_\s-]', '_', 'g'), '[\s_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 100) AS s FROM documents)""")
+@register("session_slug", r"""SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(trim(text), '[^\p{L}\p{N}_\s-]', '_', 'g'), '[\s_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 100) AS s FROM documents)""")
 def session_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 160)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug("text").alias("slug"))
 
 
 @register("doc_summary", "SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS summary FROM documents")
@@ -27,14 +27,14 @@ def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.shortened("text").alias("summary"))
 
 
-_ARXIV = "u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://arxiv.org/abs/' || (2000 + page_id % 500) || '.' || lpad(CAST(page_id % 100000 AS VARCHAR), 5, '0') WHEN 1 THEN 'see arxiv:' || (2100 + page_id % 300) || '.0' || (1000 + page_id % 8999) ELSE url END AS link FROM pages)"
+_ARXIV = "u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://arxiv.org/abs/' || (2000 + page_id % 500) || '.' || lpad(CAST(page_id % 100000 AS VARCHAR), 5, '0') WHEN 1 THEN 'see http://arxiv.org/pdf/hep-th/' || lpad(CAST(page_id % 10000000 AS VARCHAR), 7, '0') ELSE url END AS link FROM pages)"
 
 
-@register("arxiv_id", f"WITH {_ARXIV} SELECT page_id, link, coalesce(nullif(regexp_extract(link, 'arxiv\\.org/(?:abs|pdf)/([0-9]{{4}}\\.[0-9]{{4,5}})', 1), ''), regexp_extract(link, 'arxiv:([0-9]{{4}}\\.[0-9]{{4,5}})', 1)) AS arxiv_id FROM u")
+@register("arxiv_id", f"WITH {_ARXIV} SELECT page_id, link, coalesce(nullif(regexp_extract(link, 'arxiv\\.org/(?:abs|pdf)/([0-9]{{4}}\\.[0-9]{{4,5}})', 1), ''), regexp_extract(link, 'arxiv\\.org/(?:abs|pdf)/([a-z-]+/[0-9]{{7}})', 1)) AS arxiv_id FROM u")
 def arxiv_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     abs_link = F.concat(F.lit("https://arxiv.org/abs/"), (i % 500 + 2000).cast("string"), F.lit("."), F.lpad((i % 100000).cast("string"), 5, "0"))
-    short = F.concat(F.lit("see arxiv:"), (i % 300 + 2100).cast("string"), F.lit(".0"), (i % 8999 + 1000).cast("string"))
+    short = F.concat(F.lit("see http://arxiv.org/pdf/hep-th/"), F.lpad((i % 10000000).cast("string"), 7, "0"))
     link = F.when(i % 3 == 0, abs_link).when(i % 3 == 1, short).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", link.alias("link")).withColumn("arxiv_id", T.arxiv_id("link"))
 
@@ -312,14 +312,12 @@ def keyframe_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.posexplode(T.keyframe_times(F.col("value"), n)).alias("pos", "t")).withColumn("t", F.round("t", 6))
 
 
-_RESIZE = """z AS (SELECT p_partkey, CAST(p_size * 37 + 5 AS DOUBLE) AS h0, CAST(p_partkey % 900 + 3 AS DOUBLE) AS w0 FROM part), c AS (SELECT p_partkey, CASE WHEN h0 / w0 > 200 THEN w0 * 200 ELSE h0 END AS h, w0 FROM z), d AS (SELECT p_partkey, h, CASE WHEN w0 / h > 200 THEN h * 200 ELSE w0 END AS w FROM c),
-    e AS (SELECT *, greatest(28, CAST(round_even(h / 28, 0) AS BIGINT) * 28) AS hb, greatest(28, CAST(round_even(w / 28, 0) AS BIGINT) * 28) AS wb, sqrt(h * w / 1003520) AS shrink, sqrt(200704 / (h * w)) AS grow FROM d)"""
+_RESIZE = """z AS (SELECT p_partkey, CAST(p_size * 37 + 5 AS DOUBLE) AS h, CAST(p_partkey % 900 + 3 AS DOUBLE) * CASE WHEN p_partkey % 50 = 0 THEN 300 ELSE 1 END AS w FROM part),
+    e AS (SELECT *, greatest(28, CAST(round_even(h / 28, 0) AS BIGINT) * 28) AS hb, greatest(28, CAST(round_even(w / 28, 0) AS BIGINT) * 28) AS wb, sqrt(h * w / 1003520) AS shrink, sqrt(200704 / (h * w)) AS grow FROM z),
+    f AS (SELECT p_partkey, CAST(CASE WHEN hb * wb > 1003520 THEN floor(h / shrink / 28) * 28 WHEN hb * wb < 200704 THEN ceil(h * grow / 28) * 28 ELSE hb END AS BIGINT) AS h, CAST(CASE WHEN hb * wb > 1003520 THEN floor(w / shrink / 28) * 28 WHEN hb * wb < 200704 THEN ceil(w * grow / 28) * 28 ELSE wb END AS BIGINT) AS w FROM e)"""
 
 
-@register(
-    "smart_resize",
-    f"WITH {_RESIZE} SELECT p_partkey, CAST(CASE WHEN hb * wb > 1003520 THEN floor(h / shrink / 28) * 28 WHEN hb * wb < 200704 THEN ceil(h * grow / 28) * 28 ELSE hb END AS BIGINT) AS height, CAST(CASE WHEN hb * wb > 1003520 THEN floor(w / shrink / 28) * 28 WHEN hb * wb < 200704 THEN ceil(w * grow / 28) * 28 ELSE wb END AS BIGINT) AS width FROM e",
-)
+@register("smart_resize", f"WITH {_RESIZE} SELECT p_partkey, CASE WHEN h > 200 * w THEN 200 * w ELSE h END AS height, CASE WHEN w > 200 * h THEN 200 * h ELSE w END AS width FROM f")
 def smart_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.smart_resize((F.col("p_size") * 37 + 5).cast("double"), (F.col("p_partkey") % 900 + 3).cast("double"))
+    out = T.smart_resize(F.col("p_size") * 37 + 5, (F.col("p_partkey") % 900 + 3) * F.when(F.col("p_partkey") % 50 == 0, 300).otherwise(1))
     return table(spark, sf_dir, "part").select("p_partkey", out.alias("r")).select("p_partkey", "r.height", "r.width")

@@ -105,6 +105,36 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return named(nodes, "id"), named(edges, "src", "dst")
 
 
+def gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a GEXF file, as graphml() gives them; a node's label and an edge's weight are attributes too."""
+    if not path.endswith((".gexf", ".xml")):
+        raise ValueError(f"not a GEXF file: {path}")
+    text = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
+    read = spark.read.format("xml")
+    names = F.broadcast(read.option("rowTag", "attribute").schema(text("_id", "_title")).load(path).select(F.col("_id").alias("k"), F.col("_title").alias("name")).distinct())
+    values = T.StructField("attvalues", T.StructType([T.StructField("attvalue", T.ArrayType(text("_for", "_value")))]))
+
+    def named(rows: DataFrame, own: dict[str, str], *ids: str) -> DataFrame:
+        each = rows.select(*ids, *own, F.explode_outer("attvalues.attvalue").alias("d")).select(*ids, *own, F.col("d._for").alias("k"), F.col("d._value").alias("v")).join(names, "k", "left")
+        pairs = F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "v"))))
+        extra = F.create_map(*[x for c, name in own.items() for x in (F.lit(name), F.col(c))])
+        out = each.groupBy(*ids, *own).agg(pairs.alias("a"))
+        return out.select(*ids, F.map_concat(F.map_filter(extra, lambda k, v: v.isNotNull() & ~F.array_contains(F.map_keys("a"), k)), "a").alias("attributes"))
+
+    node = T.StructType([*text("_id", "_label").fields, values])
+    edge = T.StructType([*text("_source", "_target", "_weight").fields, values])
+    nodes = read.option("rowTag", "node").schema(node).load(path).withColumnRenamed("_id", "id")
+    edges = read.option("rowTag", "edge").schema(edge).load(path).withColumnsRenamed({"_source": "src", "_target": "dst"})
+    return named(nodes, {"_label": "label"}, "id"), named(edges, {"_weight": "weight"}, "src", "dst")
+
+
+def graph_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """graphml() or gexf() by the path's ending; any other is an error."""
+    if path.endswith(".gexf"):
+        return gexf(spark, path)
+    return graphml(spark, path)
+
+
 def stopwords(spark: SparkSession, path: str) -> DataFrame:
     """(word): trimmed lower-case lines that are neither blank nor comments (#)."""
     lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("word"))

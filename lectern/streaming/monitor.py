@@ -37,8 +37,9 @@ def append_new(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def timed(name: str, action: Callable, clock: Callable[[], float]) -> tuple[object, dict[str, float]]:
-    """The action's result and {name_duration: seconds}."""
-    began = clock()
+def timed(name: str, action: Callable, clock: Callable[[], float], memory: Callable[[], float] | None = None) -> tuple[object, dict[str, float]]:
+    """The action's result and {name_duration: seconds}, with memory also {name_memory_delta}."""
+    began, held = clock(), memory() if memory else 0.0
     result = action()
-    return result, {f"{name}_duration": clock() - began}
+    said = {f"{name}_duration": clock() - began}
+    return result, said | ({f"{name}_memory_delta": memory() - held} if memory else {})
