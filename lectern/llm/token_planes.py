@@ -223,11 +223,11 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, id_col: s
         if writer.docs:
             yield as_batch(frame=pa.array(list(writer.close()), pa.binary()))
 
-    # shards are sized by their text, whatever the session's partitions; null and repeated ids are dealt on by their texts
+    # shards are sized by their text, whatever the session's partitions; rows of null and repeated ids are dealt on in the order read
     size = documents.select(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = free_name(documents, "_order")
-    keyed = documents.select(id_col, text_col, F.xxhash64(text_col).alias(order))
+    keyed = documents.select(id_col, text_col, F.monotonically_increasing_id().alias(order))
     ranged = keyed.repartitionByRange(max(least, -(-size // SHARD_BYTES)), id_col, order).sortWithinPartitions(id_col, order).select(id_col, text_col)
     write_frames(ranged.mapInArrow(run, "frame binary"), path)
 
