@@ -39,9 +39,11 @@ from lectern.llm.runtime import TwoGenerations, as_batch, column_of, free_name,
 BLOCK_IDS = 65_536
 #: Text bytes of a shard, about; a longer text is not cut.
 SHARD_BYTES = 64 << 20
+#: Bytes of text for a byte that the plan's statistics give for it, at most.
+COMPRESSED = 6
 #: Chunks of which a worker keeps the ids.
 MEMO_PARTS = 200_000
-LEVEL = 3
+LEVEL = 1
 _WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: The pre-tokenizer also cuts where a letter or digit meets a sign (an apostrophe may start a token with letters),
 #: and at both sides of a line feed between two characters that are no white space.
@@ -207,6 +209,14 @@ def read_shard(content: bytes) -> Iterator[tuple[int, object, bytes]]:
         held, held_n = [have[length:]], held_n - length
 
 
+def _text_bytes(documents: DataFrame, text_col: str) -> int:
+    """About how many bytes of text there are: from the plan's statistics of the files, or else counted."""
+    known = int(documents.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if known < 1 << 50:
+        return known * COMPRESSED
+    return documents.select(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
+
+
 def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, unit: int = 8) -> None:
     """Encode every text, append end_id, and write shards in ascending id order below path."""
     end = struct.pack("<I", end_id)
@@ -224,7 +234,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, id_col: s
             yield as_batch(frame=pa.array(list(writer.close()), pa.binary()))
 
     # shards are sized by their text, whatever the session's partitions; rows of null and repeated ids are dealt on in the order read
-    size = documents.select(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
+    size = _text_bytes(documents, text_col)
     least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = free_name(documents, "_order")
     keyed = documents.select(id_col, text_col, F.monotonically_increasing_id().alias(order))
