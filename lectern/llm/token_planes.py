@@ -211,7 +211,7 @@ def read_shard(content: bytes) -> Iterator[tuple[int, object, bytes]]:
 
 def _text_bytes(documents: DataFrame, text_col: str) -> int:
     """About how many bytes of text there are: from the plan's statistics of the files, or else counted."""
-    known = int(documents.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = int(str(documents.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if known < 1 << 50:
         return known * COMPRESSED
     return documents.select(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
