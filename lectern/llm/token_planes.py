@@ -71,7 +71,7 @@ class ChunkEncoder:
         self.parts = TwoGenerations(memo)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def chunks(self, texts: list[str]) -> list[bytes]:
         found = list(map(self.parts.get, texts))
