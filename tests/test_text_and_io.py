@@ -30,7 +30,7 @@ def test_chunks_cover_the_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     for i, t in enumerate(texts):
         parts = [r.chunk for r in retrieval.chunks(df.filter(F.col("id") == i), "id", "text").orderBy("pos").collect()]
-        assert parts == [] if t is None else "".join([parts[0], *(p[100:] for p in parts[1:])]) == t
+        assert parts == [] if not t else "".join([parts[0], *(p[100:] for p in parts[1:])]) == t
 
 
 def test_budget(spark):
