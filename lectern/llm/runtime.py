@@ -28,7 +28,7 @@ BATCH_ROWS = 1500
 def tune(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches by rows and bytes, for texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 

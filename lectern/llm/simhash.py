@@ -43,8 +43,14 @@ WIDE_LANES = 8
 WIDE_RADIUS, FIRST_RADIUS = 112, 24
 #: Sets of fewer shingles can't reach the similarity without being equal.
 LEAST_SET = 4
-#: Bytes of sets that a tile holds.
+#: Bytes of sets that a tile holds, of a piece in which tiles travel, and of the tiles that a task meets.
 SET_BYTES = 8 << 20
+PIECE = 1 << 20
+TASK_BYTES = 16 << 20
+#: Spark reads a row group of up to 4,096 rows at once, so groups of large rows are kept small.
+SMALL_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
+#: Pairs whose fingerprints are compared in full at once.
+PAIRS = 1 << 16
 #: Bits of the filter through which documents pass whose sets are asked for.
 FILTER_BITS = 1 << 24
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
@@ -144,10 +150,12 @@ def close_pairs(a_fp: np.ndarray, b_fp: np.ndarray | None, radius: int, first: i
             if sizes:
                 ok &= below * np.minimum(n_a[i], n_b[j]) >= top * np.maximum(n_a[i], n_b[j])
             i, j = i[ok], j[ok]
-            apart = np.bitwise_count(a_fp[i] ^ other[j]).sum(1)
-            ok = apart <= radius
-            if ok.any():
-                yield i[ok], j[ok], apart[ok]
+            for at in range(0, len(i), PAIRS):
+                p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+                apart = np.bitwise_count(a_fp[p] ^ other[q]).sum(1)
+                ok = apart <= radius
+                if ok.any():
+                    yield p[ok], q[ok], apart[ok]
 
 
 def tile_links(a_fp: np.ndarray, b_fp: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +169,15 @@ def tile_links(a_fp: np.ndarray, b_fp: np.ndarray | None, radius: int) -> tuple[
     return label[member], member
 
 
-_TILE = "tile long, rows long, lo array<int>, hi array<int>, least int, most int, body binary, sets binary"
+_TILE = "tile long, piece int, rows long, bytes long, lo array<int>, hi array<int>, least int, most int, body binary, sets binary"
 
 
-def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields: int, reach, set_bytes: int | None = None) -> DataFrame:
+def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields: int, reach, set_bytes: int | None = None, piece: int = PIECE) -> DataFrame:
     """Tiles of rows (columns of int64: fields, then fp, one word or binary), cut in the given order.
 
+    A tile is a few records of about `piece` bytes or one row, so that no whole tile passes through Spark as one record;
+    the first has what describes the tile.
+
     reach: the least and greatest place of a tile's rows (a pair of numbers), by which tiles find each other.
     set_bytes: rows have a column set (binary) too, which stays with them; a tile holds so many bytes of it, or one set.
     """
@@ -182,10 +193,15 @@ def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields:
             pops = lane_counts(np.ascontiguousarray(x[:, fields:]).view(np.uint64))
             least, most = reach(x, pops)
             seq += 1
-            return as_batch(
-                tile=pa.array([part * (1 << 32) + seq]), rows=pa.array([len(x)]), lo=pa.array([pops.min(0)], pa.list_(pa.int32())), hi=pa.array([pops.max(0)], pa.list_(pa.int32())), least=pa.array([int(least)], pa.int32()), most=pa.array([int(most)], pa.int32()),
-                body=pa.array([x.tobytes()], pa.binary()), sets=pa.array([b"".join(mine)], pa.binary()),
-            )
+            sizes = np.full(len(x), x.itemsize * x.shape[1], np.int64)
+            if mine:
+                sizes += list(map(len, mine))
+            ends = np.cumsum(sizes)
+            starts = np.r_[0, np.flatnonzero(np.diff((ends - 1) // piece)) + 1]
+            about = {"rows": (len(x), pa.int64()), "bytes": (int(ends[-1]), pa.int64()), "lo": (pops.min(0), pa.list_(pa.int32())), "hi": (pops.max(0), pa.list_(pa.int32())), "least": (int(least), pa.int32()), "most": (int(most), pa.int32())}
+            for k, (at, to) in enumerate(zip(starts, [*starts[1:], len(x)])):
+                head = {name: pa.array([None if k else value], kind) for name, (value, kind) in about.items()}
+                yield as_batch(tile=pa.array([part * (1 << 32) + seq]), piece=pa.array([k], pa.int32()), **head, body=pa.array([x[at:to].tobytes()], pa.binary()), sets=pa.array([b"".join(mine[at:to])], pa.binary()))
 
         for batch in batches:
             front = [column_of(batch, batch.schema.names[k]).to_numpy() for k in range(fields)]
@@ -200,13 +216,13 @@ def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields:
                 fit = n if not set_bytes else max(1, int(np.searchsorted(np.cumsum(list(map(len, sets))), set_bytes, side="right")))
                 if min(fit, n) < n or n >= tile:
                     cut = min(fit, tile)
-                    yield out(np.ascontiguousarray(x[:cut]), sets[:cut])
+                    yield from out(np.ascontiguousarray(x[:cut]), sets[:cut])
                     x, sets, n = x[cut:], sets[cut:], n - cut
                 else:
                     break
             held = [x]
         if n:
-            yield out(np.concatenate(held), sets)
+            yield from out(np.concatenate(held), sets)
 
     # few partitions give full tiles; an eighth of a million fingerprints, or eight tiles of sets, is a light task
     if set_bytes:
@@ -215,22 +231,52 @@ def tile_table(rows: DataFrame, order: list[str], lanes: int, tile: int, fields:
         parts = -(-rows.count() // (8 * tile))
     parts = max(1, parts)  # whatever the session's partitions: small tiles would meet in many pairs
     ordered = rows.repartitionByRange(parts, *order).coalesce(parts).sortWithinPartitions(*order).select(*rows.columns[:fields], "fp", *["set"][: bool(set_bytes)])
-    return staged(ordered.mapInArrow(pack, _TILE), "tiles")
+    return staged(ordered.mapInArrow(pack, _TILE), "tiles", **SMALL_GROUPS)
 
 
 def tile_pairs(tiles: DataFrame, radius: int, reach: int) -> DataFrame:
-    """(ta, tb, body_a, body_b, sets_a, sets_b) of the tiles whose rows may be within the radius, ta <= tb, evenly dealt."""
-    head = tiles.drop("body", "sets")
-    a = head.select(F.col("tile").alias("ta"), F.col("rows").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence("least", "most")).alias("p"))
-    b = head.select(F.col("tile").alias("tb"), F.col("rows").alias("nb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.col("least") - reach, F.col("most") + reach)).alias("p"))
+    """(ta, tb, side, piece, body, sets) of the tiles whose rows may be within the radius, ta <= tb: a task has the pieces of
+    a pair one after another, first those of ta (side 0), then those of tb unless it is the same. Pairs are evenly dealt.
+    """
+    head = tiles.filter("piece = 0").drop("piece", "body", "sets")
+    a = head.select(F.col("tile").alias("ta"), F.col("rows").alias("na"), F.col("bytes").alias("ba"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence("least", "most")).alias("p"))
+    b = head.select(F.col("tile").alias("tb"), F.col("rows").alias("nb"), F.col("bytes").alias("bb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.col("least") - reach, F.col("most") + reach)).alias("p"))
     gaps = F.zip_with(F.arrays_zip("la", "ha"), F.arrays_zip("lb", "hb"), lambda x, y: F.greatest(F.lit(0), y["lb"] - x["ha"], x["la"] - y["hb"]))
-    pairs = staged(a.join(b, "p").filter("ta <= tb").filter(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius).select("ta", "tb", (F.col("na") * F.col("nb")).alias("work")).distinct(), "tile-pairs")
-    left = tiles.select(F.col("tile").alias("ta"), F.col("body").alias("body_a"), F.col("sets").alias("sets_a"))
-    right = tiles.select(F.col("tile").alias("tb"), F.col("body").alias("body_b"), F.col("sets").alias("sets_b"))
-    # a pair is much work and few bytes, so the number of tasks follows the work
-    total = pairs.agg(F.sum("work").alias("work"), F.count("*").alias("n")).first()
-    tasks = min(total.n, -(-(total.work or 0) // TASK_WORK), 10_000)
-    return pairs.drop("work").join(left, "ta").join(right, "tb").repartition(max(tasks, 1), "ta", "tb")
+    close = a.join(b, "p").filter("ta <= tb").filter(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius)
+    pairs = staged(close.select("ta", "tb", (F.col("na") * F.col("nb")).alias("work"), (F.col("ba") + F.when(F.col("ta") < F.col("tb"), F.col("bb")).otherwise(0)).alias("bytes")).distinct(), "tile-pairs")
+    # the number of tasks follows the work, and what they read
+    total = pairs.agg(F.sum("work").alias("work"), F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+    tasks = min(total.n, max(-(-(total.work or 0) // TASK_WORK), -(-(total.bytes or 0) // TASK_BYTES)), 10_000)
+    pieces, both = tiles.select("tile", "piece", "body", "sets"), pairs.select("ta", "tb")
+    columns = "ta", "tb", "side", "piece", "body", "sets"
+    sides = [both.filter(where).join(pieces, F.col(at) == F.col("tile")).withColumn("side", F.lit(k)).select(*columns) for k, (at, where) in enumerate((("ta", "true"), ("tb", "ta < tb")))]
+    return sides[0].unionByName(sides[1]).repartition(max(tasks, 1), "ta", "tb").sortWithinPartitions("ta", "tb", "side", "piece")
+
+
+def met_tiles(batches, fields: int, lanes: int):
+    """(same, rows, prints, sets) of each pair of tiles whose pieces come in order: of either tile the rows, fingerprints and sets."""
+    now, held = None, ([], [])
+
+    def whole():
+        same = not held[1]
+        sides = held[:1] if same else held
+        rows = [np.frombuffer(b"".join(x for x, _ in side), np.int64).reshape(-1, fields + lanes) for side in sides]
+        sets = [np.frombuffer(b"".join(x for _, x in side), np.uint64) for side in sides]
+        for side in held:
+            side.clear()
+        prints = [np.ascontiguousarray(v[:, fields:]).view(np.uint64) for v in rows]
+        return same, *((x * 2 if same else x) for x in (rows, prints, sets))
+
+    for batch in batches:
+        columns = [column_of(batch, c) for c in ("ta", "tb", "side", "body", "sets")]
+        for i in range(batch.num_rows):
+            ta, tb, side, body, sets = (c[i].as_py() for c in columns)
+            if now is not None and now != (ta, tb):
+                yield whole()
+            now = ta, tb
+            held[side].append((body, sets))
+    if now is not None:
+        yield whole()
 
 
 def near_links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -243,19 +289,11 @@ def near_links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFra
     tiles = tile_table(keyed, ["_n", "_l0", "_l1", "_l2", "_l3", "fp"], 1, tile, 1, lambda _, pops: (pops.sum(1).min(), pops.sum(1).max()))
 
     def compare(batches):
-        for batch in batches:
-            columns = [column_of(batch, c) for c in ("ta", "tb", "body_a", "body_b")]
-            for i in range(batch.num_rows):
-                ta, tb, x, y = (c[i].as_py() for c in columns)
-                x, y = (np.frombuffer(v, np.int64).reshape(-1, 2) for v in (x, y))
-                rep, fp = x[:, 0], np.ascontiguousarray(x[:, 1]).view(np.uint64)
-                if ta == tb:
-                    root, member = tile_links(fp, None, radius)
-                else:
-                    root, member = tile_links(fp, np.ascontiguousarray(y[:, 1]).view(np.uint64), radius)
-                    rep = np.concatenate([rep, y[:, 0]])
-                if len(root):
-                    yield as_batch(src=pa.array(rep[root]), dst=pa.array(rep[member]))
+        for same, (x, y), (a, b), _ in met_tiles(batches, 1, 1):
+            root, member = tile_links(a, None if same else b, radius)
+            rep = x[:, 0] if same else np.concatenate([x[:, 0], y[:, 0]])
+            if len(root):
+                yield as_batch(src=pa.array(rep[root]), dst=pa.array(rep[member]))
 
     return tile_pairs(tiles, radius, radius).mapInArrow(compare, "src long, dst long")
 
@@ -345,25 +383,15 @@ def set_prints(documents: DataFrame, id_col: str, text_col: str, size: int = WID
     return hashed.mapInArrow(run, f"`{id_col}` {kind}, hash long, node long, n long, fp binary")
 
 
-def _tiles_of(batch: pa.RecordBatch, fields: int, lanes: int):
-    """(same, rows, words, sets) of each pair of tiles: the rows, fingerprints and sets of either."""
-    columns = [column_of(batch, c) for c in ("ta", "tb", "body_a", "body_b", "sets_a", "sets_b")]
-    for i in range(batch.num_rows):
-        ta, tb, x, y, *sets = (c[i].as_py() for c in columns)
-        rows = [np.frombuffer(v, np.int64).reshape(-1, fields + lanes) for v in (x, y)]
-        yield ta == tb, rows, [np.ascontiguousarray(v[:, fields:]).view(np.uint64) for v in rows], [np.frombuffer(v, np.uint64) for v in sets]
-
-
 def with_candidates(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int], lanes: int = WIDE_LANES) -> DataFrame:
     """(node) of the rows (node, n) that have another within the radius, of a size that allows the similarity."""
 
     def run(batches):
-        for batch in batches:
-            for same, (x, y), (a, b), _ in _tiles_of(batch, 2, lanes):
-                met_x, met_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
-                for p, q, _ in close_pairs(a, None if same else b, radius, first, (x[:, 1], y[:, 1], similar)):
-                    met_x[p], met_y[q] = True, True
-                yield as_batch(node=pa.array(np.concatenate([x[met_x, 0], y[met_y, 0]])))
+        for same, (x, y), (a, b), _ in met_tiles(batches, 2, lanes):
+            met_x, met_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+            for p, q, _ in close_pairs(a, None if same else b, radius, first, (x[:, 1], y[:, 1], similar)):
+                met_x[p], met_y[q] = True, True
+            yield as_batch(node=pa.array(np.concatenate([x[met_x, 0], y[met_y, 0]])))
 
     return tile_pairs(tiles, radius, 1).mapInArrow(run, "node long").distinct()
 
@@ -381,25 +409,24 @@ def set_links(tiles: DataFrame, radius: int, first: int, similar: tuple[int, int
     top, below = similar
 
     def run(batches):
-        for batch in batches:
-            for same, (x, y), (a, b), flat in _tiles_of(batch, 2, lanes):
-                sets = [np.split(f, np.cumsum(v[:, 1])[:-1]) for f, v in zip(flat, (x, y))]
-                shift, sizes = 0 if same else len(x), y[:, 1]
-                node = x[:, 0] if same else np.concatenate([x[:, 0], y[:, 0]])
-                label = np.arange(len(node))
-                for p, q, _ in close_pairs(a, None if same else b, radius, first, (x[:, 1], y[:, 1], similar)):
-                    order = np.argsort(p, kind="stable")
-                    p, q = p[order], q[order]
-                    lead = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                    for i, some in zip(p[lead], np.split(q, lead[1:])):
-                        some = some[label[some + shift] != label[i]]  # those in its group already need no look
-                        if not len(some):
-                            continue
-                        both = shared_counts(sets[0][i], [sets[1][j] for j in some])
-                        near = some[below * both >= top * (x[i, 1] + sizes[some] - both)]
-                        _local_components(len(label), np.full(len(near), i), near + shift, label)
-                member = np.flatnonzero(label != np.arange(len(label)))
-                yield as_batch(src=pa.array(node[label[member]]), dst=pa.array(node[member]))
+        for same, (x, y), (a, b), flat in met_tiles(batches, 2, lanes):
+            sets = [np.split(f, np.cumsum(v[:, 1])[:-1]) for f, v in zip(flat, (x, y))]
+            shift, sizes = 0 if same else len(x), y[:, 1]
+            node = x[:, 0] if same else np.concatenate([x[:, 0], y[:, 0]])
+            label = np.arange(len(node))
+            for p, q, _ in close_pairs(a, None if same else b, radius, first, (x[:, 1], y[:, 1], similar)):
+                order = np.argsort(p, kind="stable")
+                p, q = p[order], q[order]
+                lead = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                for i, some in zip(p[lead], np.split(q, lead[1:])):
+                    some = some[label[some + shift] != label[i]]  # those in its group already need no look
+                    if not len(some):
+                        continue
+                    both = shared_counts(sets[0][i], [sets[1][j] for j in some])
+                    near = some[below * both >= top * (x[i, 1] + sizes[some] - both)]
+                    _local_components(len(label), np.full(len(near), i), near + shift, label)
+            member = np.flatnonzero(label != np.arange(len(label)))
+            yield as_batch(src=pa.array(node[label[member]]), dst=pa.array(node[member]))
 
     return tile_pairs(tiles, radius, 1).mapInArrow(run, "src long, dst long")
 
@@ -454,19 +481,19 @@ def sets_of(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     passed = documents.filter(F.col(id_col).isNotNull()).select(text_col, F.col(id_col), F.xxhash64(text_col).alias("hash")).select(text_col, place.alias("_at"))
     found = passed.mapInArrow(run, "node long, set binary")
-    return staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets", **SMALL_GROUPS)
 
 
-def near_copies(documents: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, tile: int = 2 * TILE, set_bytes: int = SET_BYTES) -> DataFrame:
+def near_copies(documents: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int = WIDE_SIZE, similar: tuple[int, int] = SIMILAR, tile: int = 2 * TILE, set_bytes: int = SET_BYTES, piece: int = PIECE) -> DataFrame:
     """(node, component) of the sets that have a near copy; classes: (node, n, fp, lead), one row a set."""
     reach, bounds = _size_class(*similar), (WIDE_RADIUS, FIRST_RADIUS, similar)
     rows = classes.filter(F.col("n") >= LEAST_SET)
-    tiles = tile_table(rows.select("node", "n", "fp"), ["n", "node"], WIDE_LANES, tile, 2, reach)
+    tiles = tile_table(rows.select("node", "n", "fp"), ["n", "node"], WIDE_LANES, tile, 2, reach, piece=piece)
     named = staged(with_candidates(tiles, *bounds), "named")
     dropped(tiles)
     mine = staged(rows.join(named, "node", "left_semi"), "with-candidates")
     bodies = sets_of(documents, mine.select(F.col(f"lead.{id_col}").alias(id_col), F.col("lead.hash").alias("hash"), "node"), id_col, text_col, size)
-    tiles = tile_table(mine.join(bodies, "node").select("node", "n", "fp", "set"), ["n", "node"], WIDE_LANES, tile, 2, reach, set_bytes)
+    tiles = tile_table(mine.join(bodies, "node").select("node", "n", "fp", "set"), ["n", "node"], WIDE_LANES, tile, 2, reach, set_bytes, piece)
     out = components(set_links(tiles, *bounds))
     dropped(named, mine, bodies, tiles)
     return out

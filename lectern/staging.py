@@ -40,11 +40,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:10]}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet to the shared folder, with options of the writer, and read it back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -305,6 +305,24 @@ def test_near_copies_at_the_jaccard_bound(spark, docs):
     assert simhash.keep_distinct(docs.limit(0)).count() == 0 and simhash.keep_distinct(docs).columns == docs.columns
 
 
+def test_tiles_travel_in_small_pieces(spark, docs):
+    rng = np.random.default_rng(3)
+    rows = [(k, 50, rng.bytes(64), rng.bytes(400)) for k in range(120)]
+    d = spark.createDataFrame(rows, "node long, n long, fp binary, set binary")
+    tiles = simhash.tile_table(d, ["n", "node"], 8, 1 << 15, 2, lambda x, _: (0, 0), 20_000, 2000)
+    pairs = simhash.tile_pairs(tiles, 512, 1)
+    assert pairs.select(F.max(F.length("body") + F.length("sets"))).first()[0] <= 2000 + 480
+    met = list(simhash.met_tiles(pairs.coalesce(1).sortWithinPartitions("ta", "tb", "side", "piece").toArrow().to_batches(), 2, 8))
+    assert sum(len(x) for same, (x, _), _, _ in met if same) == 120 and len(met) == 6  # three tiles
+    sets = {k: s for k, _, _, s in rows}
+    for _, tables, _, flat in met:
+        for x, s in zip(tables, flat):
+            assert s.tobytes() == b"".join(sets[k] for k in x[:, 0])
+    some = docs.limit(300)
+    kept = [{r.doc_id for r in simhash.keep_distinct(some, tile=16, set_bytes=6000, piece=p).collect()} for p in (1, 500, 1 << 20)]
+    assert kept[0] == kept[1] == kept[2]
+
+
 def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     words = [f"w{k}" for k in range(100)]
