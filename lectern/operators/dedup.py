@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.components import components
 from lectern.operators.graph import merge_nodes, remap_edges
-
-
-def dot(a: Column | str, b: Column | str) -> Column:
-    """Inner product of two arrays, in double."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+from lectern.operators.vectors import dot, nearest
 
 
 def unit(v: Column | str) -> Column:
@@ -26,11 +21,8 @@ def unit(v: Column | str) -> Column:
 
 def neighbours(vectors: DataFrame, k: int, key: str, vector: str, block: str) -> DataFrame:
     """(id, nbr, sim): the k most similar others of each row within its block, ties to the smaller key."""
-    a = vectors.select(F.col(key).alias("id"), F.col(vector).alias("va"), F.col(block).alias("block"))
-    b = vectors.select(F.col(key).alias("nbr"), F.col(vector).alias("vb"), F.col(block).alias("block"))
-    scored = a.join(b, "block").filter("id <> nbr").select("id", "nbr", dot("va", "vb").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("sim").desc(), "nbr"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    v = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(block).alias("block"))
+    return nearest(v, v, k, own=False).drop("rank")
 
 
 def candidate_pairs(near: DataFrame) -> DataFrame:
