@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.dedup import dot
+from lectern.operators.vectors import nearest
 
 
 def chunks(documents: DataFrame, key: str, text: str, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -19,12 +19,10 @@ def chunks(documents: DataFrame, key: str, text: str, size: int = 500, overlap:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str, query_key: str = "query_id") -> DataFrame:
     """(query_key, key, score, rank): the k best of corpus by inner product for each query; ties to the smaller key.
 
-    queries is a bounded set and is broadcast; each partition of the corpus is scored where it lies.
+    Either may be large: tiles of queries meet tiles of the corpus.
     """
-    q = F.broadcast(queries.select(query_key, F.col(vector).alias("_q")))
-    scored = corpus.join(q, F.lit(True)).select(query_key, key, dot("_q", vector).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.col("score").desc(), key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    q, c = (d.select(F.col(name).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(0).alias("block")) for d, name in ((queries, query_key), (corpus, key)))
+    return nearest(q, c, k, own=True).select(F.col("id").alias(query_key), F.col("nbr").alias(key), F.col("sim").alias("score"), "rank")
 
 
 def within_budget(scored: DataFrame, key: str, order: list, text: str, budget: int) -> DataFrame:

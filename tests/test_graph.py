@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.operators import dedup, graph, iterative, selection
+from lectern.operators import dedup, graph, iterative, retrieval, selection
 from lectern.operators.components import components
 
 
@@ -128,6 +128,39 @@ def test_approximate_pairs_are_true_pairs(spark):
     assert {(i, i + 10) for i in range(10)} & got and all(b - a == 10 for a, b in got)
 
 
+def test_nearest_by_tiles_against_brute_force(spark):
+    r = random.Random(8)
+    rows = [(i, [round(r.gauss(0, 1), 1) for _ in range(3)], i % 2) for i in range(120)]
+    rows += [(200 + i, [0.5, -0.5, 1.0], 1) for i in range(60)] + [(7, [9.0, 9.0, 9.0], 1), (400, [float("nan"), 1.0, 1.0], 0), (401, None, 0), (402, [-40.0, 0.0, 0.0], 2), (403, [40.0, 0.0, 0.0], 2)]
+    v = spark.createDataFrame(rows, "id long, v array<double>, b int").repartition(5)
+
+    def dots(x, y):
+        total = 0.0
+        for p, q in zip(x, y):
+            total += p * q
+        return total
+
+    def order(pair):
+        sim = pair[0]
+        return (2, 0, pair[1]) if sim is None else (0, 0, pair[1]) if sim != sim else (1, -sim, pair[1])
+
+    def brute(asked, same_block, own):
+        found = {}
+        for i, x, b in asked:
+            found.setdefault(i, []).extend((None if x is None or y is None else dots(x, y), j) for j, y, c in rows if (b == c or not same_block) and (own or i != j))
+        return {(i, *map(str, p)) for i, pairs in found.items() for p in sorted(pairs, key=order)[:4]}
+
+    assert {(x.id, str(x.sim), str(x.nbr)) for x in dedup.neighbours(v, 4, "id", "v", "b").collect()} == brute(rows, True, False)
+    q = v.filter("b = 1").select(F.col("id").alias("query_id"), "v")
+    assert {(x.query_id, str(x.score), str(x.id)) for x in retrieval.top_k(q, v, 4, "id", "v").collect()} == brute([x for x in rows if x[2] == 1], False, True)
+
+
+def test_nearest_meets_tiles_not_pairs(spark):
+    v = spark.range(300).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"), F.lit(0).alias("b"))
+    plan = dedup.neighbours(v, 3, "id", "v", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(zip_with" not in plan
+
+
 def test_distances_reach_the_end_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "src long, dst long").coalesce(1)
     got = iterative.distances(edges, spark.createDataFrame([(0,)], "id long"))
